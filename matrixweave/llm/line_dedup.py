@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from matrixweave.llm.common import stash
+
 #: The characters that are stripped from both ends of a line: fixed values.
 BLANK = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -52,8 +54,10 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .where(F.char_length("key") >= min_chars)
         .select("doc", "row", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
     )
+    lines = stash(lines, "lines")  # texts are split and hashed once, not for each branch and sample below
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     run = lines.repartitionByRange(parts, "h1", "h2", "doc", "pos").sortWithinPartitions("h1", "h2", "doc", "pos")
+    run = stash(run, "line-runs")
     owner = run.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first <> last")
     lost = run.join(owner, ["h1", "h2"]).where("doc <> first")
     words = lost.groupBy("doc", "row", F.expr(f"pos div {WORD}").cast("int").alias("word")).agg(
