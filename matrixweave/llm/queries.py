@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from matrixweave.llm import line_dedup
+from matrixweave.llm import line_dedup, sentence_pieces, token_files
 
-QUERIES = {"op4_line_dedup": line_dedup.op4_line_dedup}
+QUERIES = {
+    "op2_sentence_pieces": sentence_pieces.op2_sentence_pieces,
+    "op4_line_dedup": line_dedup.op4_line_dedup,
+    "op5_token_files": token_files.op5_token_files,
+}
 
 ORACLE_SQL = {"op4_line_dedup": line_dedup.OP4_SQL}
