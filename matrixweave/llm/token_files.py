@@ -12,6 +12,7 @@ encoded once a worker.
 
 from __future__ import annotations
 
+import functools
 import os
 import zlib
 from collections.abc import Callable, Iterator
@@ -27,7 +28,9 @@ from matrixweave.llm.common import new_path, pieces_of
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 #: Bytes of text that are encoded at a time, and distinct words that a worker remembers.
-SLICE_BYTES, MOST_WORDS = 4 << 20, 1 << 19
+SLICE_BYTES, MOST_WORDS = 8 << 20, 1 << 20
+#: Words that are encoded in one call.
+AT_ONCE = 1 << 13
 LAYOUT = {
     "compression": "zstd",
     "parquet.block.size": str(32 << 20),
@@ -60,7 +63,7 @@ class Ragged:
             self.clear()
             new = keys
         if new:
-            values = self.encode(new)
+            values = [v for a in range(0, len(new), AT_ONCE) for v in self.encode(new[a : a + AT_ONCE])]
             lengths = np.fromiter(map(len, values), np.int64, len(values))
             flat = np.fromiter((x for v in values for x in v), np.int32, int(lengths.sum()))
             self.starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(lengths) - lengths))
@@ -78,12 +81,18 @@ class Ragged:
         return self.flat[at], ends
 
 
+@functools.lru_cache(1)
+def _words(path: str) -> Ragged:
+    """The tokenizer's ids of distinct words; a Python worker keeps them from task to task."""
+    return Ragged(_encoder(path))
+
+
 def _encoder(path: str) -> Callable[[list[str]], list]:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    return lambda words: [e.ids for e in tokenizer.encode_batch(words, add_special_tokens=False)]
+    return lambda words: [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
 
 def encode_texts(text: pa.Array, words: Ragged, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -105,7 +114,7 @@ def token_rows(docs: DataFrame, path: str, end_id: int = END_ID, id_col: str = "
     """(doc_id, ids, n_tokens) of each row; a null text is empty and has the end id alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Ragged(_encoder(path))
+        words = _words(path)
         for batch in batches:
             for part in pieces_of(batch, 1, SLICE_BYTES):
                 ids, bounds = encode_texts(part.column(1), words, end_id)
