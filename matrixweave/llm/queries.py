@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from matrixweave.llm import line_dedup, sentence_pieces, token_files
+from matrixweave.llm import line_dedup, sentence_pieces, simhash, string_tiling, token_files
 
 QUERIES = {
+    "op1_benchmark_tiling": string_tiling.op1_benchmark_tiling,
     "op2_sentence_pieces": sentence_pieces.op2_sentence_pieces,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_token_files": token_files.op5_token_files,
+    "op10_simhash": simhash.op10_simhash,
 }
 
 ORACLE_SQL = {"op4_line_dedup": line_dedup.OP4_SQL}

@@ -30,7 +30,7 @@ from matrixweave.llm.common import pieces_of
 from matrixweave.llm.token_files import Ragged
 
 MODEL = "piece_bpe_32k.model"
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 8 << 20
 #: Bytes beyond which a segment is searched by itself.
 LONG = 48
 #: SentencePiece's piece types, model types and penalty: fixed values.
@@ -254,6 +254,12 @@ def load(path: str) -> Model:
     return Model(pieces, ranked)
 
 
+@functools.lru_cache(1)
+def _segments(path: str) -> Ragged:
+    """Ids of distinct segments; a Python worker keeps them from task to task."""
+    return Ragged(load(path).encode_segments)
+
+
 def encode_texts(text: pa.Array, words: Ragged) -> tuple[np.ndarray, np.ndarray]:
     """All ids of the texts and the offsets by text; null and empty texts have none."""
     text = pc.fill_null(text, "")
@@ -279,7 +285,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     """(doc_id, text, ids) of each row of ``docs``; other columns are not carried."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Ragged(load(path).encode_segments)
+        words = _segments(path)
         for batch in batches:
             for part in pieces_of(batch, 1, SLICE_BYTES):
                 ids, bounds = encode_texts(part.column(1), words)
