@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from matrixweave.llm import line_dedup, sentence_pieces, simhash, string_tiling, token_files
+from matrixweave.llm import language_id, line_dedup, secret_scan, sentence_pieces, simhash, string_tiling, token_files
 
 QUERIES = {
     "op1_benchmark_tiling": string_tiling.op1_benchmark_tiling,
     "op2_sentence_pieces": sentence_pieces.op2_sentence_pieces,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_token_files": token_files.op5_token_files,
+    "op7_language_id": language_id.op7_language_id,
+    "op8_secret_scan": secret_scan.op8_secret_scan,
     "op10_simhash": simhash.op10_simhash,
 }
 

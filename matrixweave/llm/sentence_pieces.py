@@ -15,7 +15,6 @@ Zipf's law: ln(1 / (rank + 1)), less the log of the sum over all ranks.
 from __future__ import annotations
 
 import functools
-import hashlib
 import re
 import zlib
 from collections.abc import Iterator
