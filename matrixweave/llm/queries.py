@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from matrixweave.llm import language_id, line_dedup, secret_scan, sentence_pieces, simhash, string_tiling, token_files
+from matrixweave.llm import language_id, line_dedup, secret_scan, sentence_pieces, simhash, string_tiling, token_files, vantage_trees
 
 QUERIES = {
     "op1_benchmark_tiling": string_tiling.op1_benchmark_tiling,
@@ -11,7 +11,8 @@ QUERIES = {
     "op5_token_files": token_files.op5_token_files,
     "op7_language_id": language_id.op7_language_id,
     "op8_secret_scan": secret_scan.op8_secret_scan,
+    "op9_vantage_trees": vantage_trees.op9_vantage_trees,
     "op10_simhash": simhash.op10_simhash,
 }
 
-ORACLE_SQL = {"op4_line_dedup": line_dedup.OP4_SQL}
+ORACLE_SQL = {"op4_line_dedup": line_dedup.OP4_SQL, "op9_vantage_trees": vantage_trees.OP9_SQL}
