@@ -212,8 +212,8 @@ OP9_SQL = """
 WITH fine AS (
   SELECT vec_id, embedding::DOUBLE[] AS v, len(embedding) AS dim FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-    AND len(list_filter(embedding, x -> x <> 0)) > 0),
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 scored AS (
   SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v) AS score
   FROM fine q JOIN fine c ON q.dim = c.dim AND q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
