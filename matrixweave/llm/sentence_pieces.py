@@ -32,6 +32,8 @@ MODEL = "piece_bpe_32k.model"
 SLICE_BYTES = 8 << 20
 #: Bytes beyond which a segment is searched by itself.
 LONG = 48
+#: Segments that are searched in step.
+AT_ONCE = 1 << 14
 #: SentencePiece's piece types, model types and penalty: fixed values.
 NORMAL, BYTE, USER = 1, 6, 4
 RANKED = 2
@@ -133,6 +135,8 @@ class Model:
 
     def encode_segments(self, keys: list[str]) -> list[list[int]]:
         """Ids of segments; a key is a segment without its first marker, other markers as spaces."""
+        if len(keys) > AT_ONCE:
+            return [v for a in range(0, len(keys), AT_ONCE) for v in self.encode_segments(keys[a : a + AT_ONCE])]
         raw = [(b" " + k.encode()).replace(b" ", MARKER_BYTE) for k in keys]
         out: list[list[int]] = [[]] * len(raw)
         by: dict[int, list[int]] = {}

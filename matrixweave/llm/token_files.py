@@ -16,6 +16,7 @@ import functools
 import os
 import zlib
 from collections.abc import Callable, Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -63,7 +64,7 @@ class Ragged:
             self.clear()
             new = keys
         if new:
-            values = [v for a in range(0, len(new), AT_ONCE) for v in self.encode(new[a : a + AT_ONCE])]
+            values = self.encode(new)
             lengths = np.fromiter(map(len, values), np.int64, len(values))
             flat = np.fromiter((x for v in values for x in v), np.int32, int(lengths.sum()))
             self.starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(lengths) - lengths))
@@ -81,21 +82,103 @@ class Ragged:
         return self.flat[at], ends
 
 
-@functools.lru_cache(1)
-def _words(path: str) -> Ragged:
-    """The tokenizer's ids of distinct words; a Python worker keeps them from task to task."""
-    return Ragged(_encoder(path))
+class WordIds:
+    """Ids of words by one tokenizer.
+
+    A word of letters, and points or commas after them, is two pre-tokens: its letters
+    and its tail.  The letters of many words are encoded as one text; each word ends at
+    a token with the tokenizer's mark of word ends.  Other words are encoded alone, and
+    so are all if the tokenizer has no such mark.
+    """
+
+    TAILS = 64
 
+    def __init__(self, path: str, most: int = MOST_WORDS):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        mark = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        if mark:
+            self.last[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith(mark)]] = True
+        self.marked = bool(mark)
+        self.clear()
+
+    def clear(self) -> None:
+        #: Each word's core and tail: the core's row * TAILS + the tail's row; row 0 has no ids.
+        self.number: dict[str, int] = {}
+        self.core: dict[str, int] = {"": 0}
+        self.tail: dict[str, int] = {"": 0}
+        self.starts, self.lengths, self.flat = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int32)
+        self.tail_rows = np.zeros(self.TAILS, np.int64)
+
+    def _add(self, words: list[str], flat: np.ndarray, lengths: np.ndarray) -> None:
+        self.core.update(zip(words, range(len(self.lengths), len(self.lengths) + len(words))))
+        self.starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(lengths) - lengths))
+        self.lengths = np.concatenate((self.lengths, lengths))
+        self.flat = np.concatenate((self.flat, flat.astype(np.int32)))
+
+    def _add_alone(self, words: list[str]) -> None:
+        ids = [np.array(e.ids, np.int32) for a in range(0, len(words), AT_ONCE) for e in self.tokenizer.encode_batch_fast(words[a : a + AT_ONCE], add_special_tokens=False)]
+        if ids:
+            self._add(words, np.concatenate(ids), np.fromiter(map(len, ids), np.int64, len(ids)))
+
+    def _add_letters(self, words: list[str]) -> None:
+        parts, other = [], []
+        for a in range(0, len(words), AT_ONCE):
+            some = words[a : a + AT_ONCE]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.int32)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(some):
+                parts.append((some, ids, np.diff(ends, prepend=0)))
+            else:
+                other += some
+        if parts:
+            self._add([w for p in parts for w in p[0]], *(np.concatenate([p[k] for p in parts]) for k in (1, 2)))
+        self._add_alone(other)
+
+    def _learn(self, words: list[str]) -> None:
+        cut = []
+        for w in words:
+            core = w.rstrip(".,")
+            tail = w[len(core) :]
+            if not (self.marked and core.isalpha() and core.lower().isalpha() and is_normalized("NFC", core)) or (tail not in self.tail and len(self.tail) == self.TAILS):
+                core, tail = w, ""
+            elif tail not in self.tail:
+                self._add_alone([] if tail in self.core else [tail])
+                self.tail[tail] = len(self.tail)
+                self.tail_rows[self.tail[tail]] = self.core[tail]
+            cut.append((core, self.tail[tail]))
+        new = list({c for c, _ in cut if c not in self.core})
+        plain = [self.marked and c.isalpha() and c.lower().isalpha() and is_normalized("NFC", c) for c in new]
+        self._add_letters([c for c, p in zip(new, plain) if p])
+        self._add_alone([c for c, p in zip(new, plain) if not p])
+        self.number.update((w, self.core[c] * self.TAILS + t) for w, (c, t) in zip(words, cut))
+
+    def __call__(self, distinct: list[str], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the words ``distinct[codes]`` one after another, and the offsets by word."""
+        new = [w for w in distinct if w not in self.number]
+        if new and len(self.number) + len(new) > self.most:
+            self.clear()
+            new = distinct
+        if new:
+            self._learn(new)
+        packed = np.fromiter(map(self.number.__getitem__, distinct), np.int64, len(distinct))
+        rows = np.stack((packed // self.TAILS, self.tail_rows[packed % self.TAILS]), axis=1)[codes].reshape(-1)
+        lengths = self.lengths[rows]
+        ends = np.concatenate(([0], np.cumsum(lengths)))
+        at = np.repeat(self.starts[rows] - ends[:-1], lengths) + np.arange(ends[-1])
+        return self.flat[at], ends[::2]
 
-def _encoder(path: str) -> Callable[[list[str]], list]:
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    return lambda words: [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+@functools.lru_cache(1)
+def _words(path: str) -> WordIds:
+    """The tokenizer's ids of distinct words; a Python worker keeps them from task to task."""
+    return WordIds(path)
 
 
-def encode_texts(text: pa.Array, words: Ragged, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+def encode_texts(text: pa.Array, words: WordIds, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """All ids of the texts, each text's followed by ``end_id``, and the offsets by text."""
     text = pc.fill_null(text, "")
     if not pc.any(pc.match_substring(text, "<|")).as_py():
@@ -104,8 +187,7 @@ def encode_texts(text: pa.Array, words: Ragged, end_id: int) -> tuple[np.ndarray
     offsets = np.asarray(lists.offsets).astype(np.int64)
     coded = lists.values.slice(int(offsets[0]), int(offsets[-1] - offsets[0])).dictionary_encode()
     offsets -= offsets[0]
-    rows = words.rows(coded.dictionary.to_pylist())
-    ids, ends = words.spread(rows[np.asarray(coded.indices)])
+    ids, ends = words(coded.dictionary.to_pylist(), np.asarray(coded.indices))
     bounds = ends[offsets]
     return np.insert(ids, bounds[1:], end_id).astype(np.int32), bounds + np.arange(len(bounds))
 
