@@ -59,6 +59,7 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     run = lines.repartitionByRange(parts, "h1", "h2", "doc", "pos").sortWithinPartitions("h1", "h2", "doc", "pos")
     run = stash(run, "line-runs")
     owner = run.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first <> last")
+    owner = stash(owner, "owners")  # apart from the join, so that Spark can split a line that very many documents hold
     lost = run.join(owner, ["h1", "h2"]).where("doc <> first")
     words = lost.groupBy("doc", "row", F.expr(f"pos div {WORD}").cast("int").alias("word")).agg(
         F.bit_or(F.expr(f"shiftleft(1L, cast(pos % {WORD} as int))")).alias("drop")
