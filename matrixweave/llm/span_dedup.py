@@ -47,6 +47,7 @@ def lost_runs(docs: DataFrame, k: int = K, min_chars: int = MIN_CHARS, id_col: s
     )
     runs = stash(runs.where("h is not null").select("doc", "row", "pos", "h.h1", "h.h2"), "spans")
     owner = runs.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "first", "last")
+    owner = stash(owner, "owners")  # apart from the join, so that Spark can split a run that very many texts share
     again = stash(runs.join(owner, ["h1", "h2"]), "repeated-spans")
     between = again.where("doc <> first").select("doc", "row", "pos")
     # In the first document, the first position stays; only such repeats are ranked.
