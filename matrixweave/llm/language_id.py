@@ -185,8 +185,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """The model of the labelled rows that are not held out; only a bounded sample reaches the driver."""
     own = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     own = own.where(F.col("lang").isNotNull() & F.col("doc").isNotNull() & ~held_out(F.col("doc")))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc"), "doc"))
-    picked = [r.doc for r in own.select("doc", "lang").withColumn("rank", rank).where(F.col("rank") <= SAMPLE_DOCS).select("doc").collect()]
+    # Ranked in 256 parts of each language first, so that no task sees a whole language.
+    ids = own.select("doc", "lang", F.xxhash64("doc").alias("h")).withColumn("part", F.expr("pmod(h, 256)"))
+    for keys in (["lang", "part"], ["lang"]):
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy("h", "doc"))
+        ids = ids.withColumn("rank", rank).where(F.col("rank") <= SAMPLE_DOCS).drop("rank")
+    picked = [r.doc for r in ids.select("doc").collect()]
     rows = own.where(F.col("doc").isin(picked)).select("lang", F.xxhash64("doc").alias("h"), "doc", F.substring("text", 1, DOC_CHARS).alias("text")).collect() if picked else []
     texts: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r.lang, r.h, r.doc, r.text or "")):
