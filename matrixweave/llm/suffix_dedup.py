@@ -237,6 +237,7 @@ def repeats(strings: DataFrame, length: int, grain: int, most: int) -> DataFrame
     strings = strings.select("s1", "s2", "weight", "data")
     runs = stash(strings.mapInArrow(_runs(length, grain), "s1 long, s2 long, weight long, key long, start int, n int, left int"), "runs")
     again = runs.groupBy("key").agg(F.sum("weight").alias("times")).where("times > 1").select("key")
+    again = stash(again, "anchors")  # apart from the join, so that Spark can split an anchor that very many texts hold
     per = runs.join(again, "key").groupBy("s1", "s2").agg(F.collect_list(F.struct("start", "n", "left", "key")).alias("runs"))
     cut = strings.join(per, ["s1", "s2"]).select("s1", "s2", "weight", "data", "runs")
     cut = stash(cut.mapInArrow(_cut(length), "s1 long, s2 long, start int, weight long, key long, left int, h1 long, h2 long, data binary"), "strings")
