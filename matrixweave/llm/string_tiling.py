@@ -202,6 +202,31 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, thre
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, OUT)
 
 
+def decontaminate(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, threshold: float = THRESHOLD, most_bytes: int = MOST_BYTES, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows that an item contaminates; null texts stay.
+
+    Beyond ``most_bytes`` of benchmark, rows that share their doc_id with a contaminated row go too.
+    """
+    if benchmark_bytes(benchmark, item_text_col) > most_bytes:
+        gone = _joined(docs, benchmark, least, threshold, id_col, text_col, item_col, item_text_col).select(F.col("doc_id").alias("_gone")).distinct()
+        return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    seeds = docs.sparkSession.sparkContext.broadcast(collect_seeds(benchmark, least, item_col, item_text_col))
+
+    @F.arrow_udf("boolean")
+    def dirty(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        hashed = word_hashes()
+        for batch in batches:
+            out = np.zeros(len(batch), bool)
+            at = 0
+            for part in pieces_of(pa.record_batch([batch], ["text"]), 0, SLICE_BYTES):
+                for text, _, _, _ in found(seeds.value, *hashed(part.column(0)), threshold):
+                    out[at + text] = True
+                at += part.num_rows
+            yield pa.array(out)
+
+    return docs.where(~dirty(F.col(text_col)))
+
+
 TILES = pa.list_(pa.struct([("item_at", pa.int32()), ("text_at", pa.int32()), ("words", pa.int32())]))
 
 
