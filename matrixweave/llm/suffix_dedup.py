@@ -39,8 +39,8 @@ from pyspark.sql import functions as F
 from matrixweave.llm.common import mixed, pieces_of, stash
 
 LENGTH, GRAIN, MOST = 400, 64, 8192
-SEGMENT = 1 << 21
-SLICE_BYTES = 4 << 20
+SEGMENT = 1 << 20
+SLICE_BYTES, RUN_BYTES = 4 << 20, 1 << 20
 BATCH_STRINGS = 16384
 #: Bits of a packed value that hold a place; the others hold the hash. The base of the hashes: a fixed odd number.
 PLACE_BITS = np.uint64(28)
@@ -163,7 +163,7 @@ FOUND = "s1 long, s2 long, spans array<struct<a:int,b:int>>"
 def _runs(length: int, grain: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces_of(batch, 3, SLICE_BYTES):
+            for part in pieces_of(batch, 3, RUN_BYTES):
                 data = pc.fill_null(part.column(3), b"")
                 bounds = np.frombuffer(data.buffers()[1], np.int32, len(data) + data.offset + 1)[data.offset :].astype(np.int64)
                 raw = np.frombuffer(data.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
