@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Used where the session names no shared folder, as in tests.
@@ -56,6 +56,16 @@ def unstash(df: DataFrame | None) -> None:
         at.getFileSystem(hadoop).delete(at, True)
 
 
+def carried(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(_row, _id, _text): all columns of ``docs`` as one struct, so that no name of theirs meets one of ours."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+
+
+def released(df: DataFrame, docs: DataFrame, **more: Column) -> DataFrame:
+    """The columns of ``docs`` from ``carried`` rows, then the columns named; these replace ones of the same name."""
+    return df.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns if c not in more], *[v.alias(k) for k, v in more.items()])
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for each node of ``edges(u, v)``; component is the smallest node reachable.
 

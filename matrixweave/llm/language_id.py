@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from matrixweave.llm.common import carried, released
+
 SAMPLE_DOCS, DOC_CHARS, LANG_CHARS, ALL_CHARS = 256, 400, 48_000, 1_500_000
 BLOCK = 1024
 SLICE_CHARS = 4 << 20
@@ -229,9 +231,8 @@ def predictor(docs: DataFrame, model: Model):
 
 def keep_known(docs: DataFrame, model: Model, text_col: str = "text", most_phrases: float = MOST_PHRASES) -> DataFrame:
     """``docs`` without the rows that the model rejects: no letter, or phrases too short to be any learned language."""
-    columns = docs.columns
-    found = docs.withColumn("_language", predictor(docs, model)(F.col(text_col)))
-    return found.where((F.col("_language.lang") != UNKNOWN) & (F.col("_language.rate") <= most_phrases)).select(*[F.col(f"`{c}`") for c in columns])
+    found = carried(docs, text_col, text_col).withColumn("_language", predictor(docs, model)(F.col("_text")))
+    return released(found.where((F.col("_language.lang") != UNKNOWN) & (F.col("_language.rate") <= most_phrases)), docs)
 
 
 def op7_language_id(spark, sf_dir):

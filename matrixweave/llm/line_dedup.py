@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matrixweave.llm.common import stash
+from matrixweave.llm.common import carried, released, stash
 
 #: The characters that are stripped from both ends of a line: fixed values.
 BLANK = " \t\n\x0b\x0c\r"
@@ -70,22 +70,20 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` plus _n_lines, _n_dropped and _kept (the text of the lines that stay, joined by newline)."""
     bitmaps = keep_bitmaps(docs, id_col, text_col, min_chars).select(
-        F.col("doc").alias("_doc"), F.col("row").alias("_row"), F.map_from_entries("bitmap").alias("_drop"), F.expr("aggregate(bitmap, 0, (n, w) -> n + bit_count(w.drop))").alias("_n")
-    )
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    joined = docs.withColumn("_row0", row_key(F.col(text_col))).join(
-        bitmaps, (F.col(id_col) == F.col("_doc")) & (F.col("_row0") == F.col("_row")), "left"
+        F.col("doc").alias("_doc"), F.col("row").alias("_row1"), F.map_from_entries("bitmap").alias("_drop"), F.expr("aggregate(bitmap, 0, (n, w) -> n + bit_count(w.drop))").alias("_n")
     )
+    rows = carried(docs, id_col, text_col).withColumn("_row0", row_key(F.col("_text")))
+    joined = rows.join(bitmaps, (F.col("_id") == F.col("_doc")) & (F.col("_row0") == F.col("_row1")), "left")
     kept = F.expr(
-        f"array_join(filter(split(coalesce(`{text_col}`, ''), '\\n'), (x, i) -> shiftright(coalesce(try_element_at(_drop, i div {WORD}), 0L), i % {WORD}) & 1L = 0L), '\\n')"
+        f"array_join(filter(split(_text, '\\n'), (x, i) -> shiftright(coalesce(try_element_at(_drop, i div {WORD}), 0L), i % {WORD}) & 1L = 0L), '\\n')"
+    )
+    return released(
+        joined,
+        docs,
+        _n_lines=F.size(split_lines(F.col("_text"))).cast("long"),
+        _n_dropped=F.coalesce(F.col("_n"), F.lit(0)).cast("long"),
+        _kept=F.when(F.col("_drop").isNull(), F.coalesce("_text", F.lit(""))).otherwise(kept),
     )
-    return joined.withColumns(
-        {
-            "_n_lines": F.size(split_lines(F.col(text_col))).cast("long"),
-            "_n_dropped": F.coalesce(F.col("_n"), F.lit(0)).cast("long"),
-            "_kept": F.when(F.col("_drop").isNull(), text).otherwise(kept),
-        }
-    ).drop("_row0", "_doc", "_row", "_drop", "_n")
 
 
 def op4_line_dedup(spark, sf_dir):

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matrixweave.llm.common import stash
+from matrixweave.llm.common import carried, released, stash
 from matrixweave.llm.line_dedup import WORD, line_key, row_key
 
 K, MIN_CHARS = 2, 50
@@ -64,19 +64,20 @@ def dedup_spans(docs: DataFrame, k: int = K, min_chars: int = MIN_CHARS, id_col:
         .agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pos % {WORD} as int))")).alias("bits"))
         .groupBy("doc", "row")
         .agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("_runs"))
-        .select(F.col("doc").alias("_doc"), F.col("row").alias("_row"), "_runs")
+        .select(F.col("doc").alias("_doc"), F.col("row").alias("_row1"), "_runs")
     )
-    joined = docs.withColumn("_row0", row_key(F.col(text_col))).join(starts, (F.col(id_col) == F.col("_doc")) & (F.col("_row0") == F.col("_row")), "left")
+    rows = carried(docs, id_col, text_col).withColumn("_row0", row_key(F.col("_text")))
+    joined = rows.join(starts, (F.col("_id") == F.col("_doc")) & (F.col("_row0") == F.col("_row1")), "left")
     covered = " or ".join(f"(i >= {j} and shiftright(coalesce(try_element_at(_runs, (i - {j}) div {WORD}), 0L), (i - {j}) % {WORD}) & 1L = 1L)" for j in range(k))
-    pieces = joined.withColumn("_all", split_sentences(F.col(text_col)))
+    pieces = joined.withColumn("_all", split_sentences(F.col("_text")))
     pieces = pieces.withColumn("_stay", F.when(F.col("_runs").isNull(), F.col("_all")).otherwise(F.expr(f"filter(_all, (x, i) -> not ({covered}))")))
-    return pieces.withColumns(
-        {
-            "_n_sentences": F.size("_all").cast("long"),
-            "_n_removed": (F.size("_all") - F.size("_stay")).cast("long"),
-            "_kept": F.when(F.col("_runs").isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(F.array_join("_stay", "")),
-        }
-    ).drop("_row0", "_doc", "_row", "_runs", "_all", "_stay")
+    return released(
+        pieces,
+        docs,
+        _n_sentences=F.size("_all").cast("long"),
+        _n_removed=(F.size("_all") - F.size("_stay")).cast("long"),
+        _kept=F.when(F.col("_runs").isNull(), F.coalesce("_text", F.lit(""))).otherwise(F.array_join("_stay", "")),
+    )
 
 
 def op3_span_dedup(spark, sf_dir):

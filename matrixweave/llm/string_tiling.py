@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matrixweave.llm.common import pieces_of, split_words
+from matrixweave.llm.common import carried, pieces_of, released, split_words
 
 LEAST, THRESHOLD = 4, 0.6
 MOST_BYTES = 32 << 20
@@ -209,7 +209,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, thr
     """
     if benchmark_bytes(benchmark, item_text_col) > most_bytes:
         gone = _joined(docs, benchmark, least, threshold, id_col, text_col, item_col, item_text_col).select(F.col("doc_id").alias("_gone")).distinct()
-        return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+        return released(carried(docs, id_col, text_col).join(gone, F.col("_id") == F.col("_gone"), "left_anti"), docs)
     seeds = docs.sparkSession.sparkContext.broadcast(collect_seeds(benchmark, least, item_col, item_text_col))
 
     @F.arrow_udf("boolean")
