@@ -7,6 +7,8 @@ unless an operator says otherwise, and a null doc_id is a document of its own.
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -110,6 +112,13 @@ def pieces_of(batch: pa.RecordBatch, column: int, most_bytes: int) -> Iterator[p
         at = end
 
 
+def tidy() -> None:
+    """Give what a task no longer uses back to the system; Python workers live on after it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def split_words(text: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of A-Z-lowered texts: (code of each word, the distinct words, offsets by text)."""
     lists = pc.ascii_split_whitespace(pc.fill_null(pc.ascii_lower(text), ""))

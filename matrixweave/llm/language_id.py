@@ -27,11 +27,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matrixweave.llm.common import carried, released
+from matrixweave.llm.common import carried, released, tidy
 
 SAMPLE_DOCS, DOC_CHARS, LANG_CHARS, ALL_CHARS = 256, 400, 48_000, 1_500_000
 BLOCK = 1024
-SLICE_CHARS = 4 << 20
+SLICE_CHARS = 2 << 20
 #: Letters that get a symbol of their own.
 LETTERS = 200
 UNKNOWN = "und"
@@ -225,6 +225,7 @@ def predictor(docs: DataFrame, model: Model):
             langs = [x for d in done for x in d[0]]
             score, rate = (np.concatenate([d[k] for d in done]) if done else np.zeros(0) for k in (1, 2))
             yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(score), pa.array(rate)], ["lang", "score", "rate"])
+        tidy()
 
     return predict
 

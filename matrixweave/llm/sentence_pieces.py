@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matrixweave.llm.common import pieces_of
+from matrixweave.llm.common import pieces_of, tidy
 from matrixweave.llm.token_files import Ragged
 
 MODEL = "piece_bpe_32k.model"
@@ -34,6 +34,8 @@ SLICE_BYTES = 8 << 20
 LONG = 48
 #: Segments that are searched in step.
 AT_ONCE = 1 << 14
+#: Distinct segments that a worker remembers.
+MOST_SEGMENTS = 3 << 17
 #: SentencePiece's piece types, model types and penalty: fixed values.
 NORMAL, BYTE, USER = 1, 6, 4
 RANKED = 2
@@ -260,7 +262,7 @@ def load(path: str) -> Model:
 @functools.lru_cache(1)
 def _segments(path: str) -> Ragged:
     """Ids of distinct segments; a Python worker keeps them from task to task."""
-    return Ragged(load(path).encode_segments)
+    return Ragged(load(path).encode_segments, MOST_SEGMENTS)
 
 
 def encode_texts(text: pa.Array, words: Ragged) -> tuple[np.ndarray, np.ndarray]:
@@ -294,6 +296,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 ids, bounds = encode_texts(part.column(1), words)
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.record_batch([part.column(0), part.column(1), lists], ["doc_id", "text", "ids"])
+        tidy()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, text string, ids array<int>")
 
@@ -318,6 +321,7 @@ def decode(rows: DataFrame, path: str) -> DataFrame:
                 [*batch.columns, pa.array(texts, pa.string()), pa.array(lengths), pa.array(np.diff(back), pa.int64()), pa.array(sums, pa.int64())],
                 [*batch.schema.names, "decoded", "n_pieces", "n_fallback", "ids_crc32"],
             )
+        tidy()
 
     return rows.select("doc_id", "text", "ids").mapInArrow(run, "doc_id long, text string, ids array<int>, decoded string, n_pieces long, n_fallback long, ids_crc32 long")
 

@@ -26,12 +26,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matrixweave.llm.common import carried, pieces_of, released, split_words
+from matrixweave.llm.common import carried, pieces_of, released, split_words, tidy
 
 LEAST, THRESHOLD = 4, 0.6
 MOST_BYTES = 32 << 20
 SLICE_BYTES = 8 << 20
-MOST_WORDS = 1 << 20
+MOST_WORDS = 1 << 18
 #: The base of the fingerprints: a fixed odd number.
 BASE = np.uint64(0x9E3779B97F4A7C15)
 TABLE_BITS = np.uint64(22)
@@ -223,6 +223,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, thr
                     out[at + text] = True
                 at += part.num_rows
             yield pa.array(out)
+        tidy()
 
     return docs.where(~dirty(F.col(text_col)))
 

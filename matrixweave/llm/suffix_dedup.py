@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matrixweave.llm.common import mixed, pieces_of, stash
+from matrixweave.llm.common import mixed, pieces_of, stash, tidy
 
 LENGTH, GRAIN, MOST = 400, 64, 8192
 SEGMENT = 1 << 20
@@ -173,6 +173,7 @@ def _runs(length: int, grain: int):
                     [part.column(0).take(pick), part.column(1).take(pick), part.column(2).take(pick), pa.array(key), pa.array(start, pa.int32()), pa.array(count, pa.int32()), pa.array(left, pa.int32())],
                     ["s1", "s2", "weight", "key", "start", "n", "left"],
                 )
+        tidy()
 
     return run
 
@@ -228,6 +229,7 @@ def _sorted_buckets(length: int):
                 rows.append(row)
         if rows:
             yield done(rows)
+        tidy()
 
     return run
 
