@@ -112,6 +112,17 @@ def pieces_of(batch: pa.RecordBatch, column: int, most_bytes: int) -> Iterator[p
         at = end
 
 
+#: Rows that are sent to a Python worker at a time; texts are long.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the memory of Arrow batches of texts, on both sides; a smaller setting of the session's own stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def tidy() -> None:
     """Give what a task no longer uses back to the system; Python workers live on after it."""
     pa.default_memory_pool().release_unused()

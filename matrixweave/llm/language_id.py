@@ -27,9 +27,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matrixweave.llm.common import carried, released, tidy
+from matrixweave.llm.common import carried, released, small_batches, tidy
 
-SAMPLE_DOCS, DOC_CHARS, LANG_CHARS, ALL_CHARS = 256, 400, 48_000, 1_500_000
+SAMPLE_DOCS, DOC_CHARS, LANG_CHARS, ALL_CHARS = 256, 400, 32_000, 1_500_000
 BLOCK = 1024
 SLICE_CHARS = 2 << 20
 #: Letters that get a symbol of their own.
@@ -206,11 +206,13 @@ RESULT = "struct<lang:string,score:double,rate:double>"
 
 def predictor(docs: DataFrame, model: Model):
     """A column function: text -> struct(lang, score, rate)."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf(RESULT)
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = shared.value
+        tidy()
         table = symbol_table(own.letters)
         for batch in batches:
             texts, done = batch.to_pylist(), []

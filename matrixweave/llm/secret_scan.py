@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from matrixweave.llm.common import small_batches
+
 # The kinds in their order, their patterns and least lengths: fixed values.
 KINDS = ("assign", "access", "hex", "novel")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -106,6 +108,7 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             rows = [[{"kind": KINDS[k], "start": s, "end": e, "novelty": n} for s, k, e, n in scan(t)[0]] if t else [] for t in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(rows, SPANS)], ["doc_id", "spans"])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, OUT)
 
 

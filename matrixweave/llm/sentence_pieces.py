@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matrixweave.llm.common import pieces_of, tidy
+from matrixweave.llm.common import pieces_of, small_batches, tidy
 from matrixweave.llm.token_files import Ragged
 
 MODEL = "piece_bpe_32k.model"
@@ -35,7 +35,7 @@ LONG = 48
 #: Segments that are searched in step.
 AT_ONCE = 1 << 14
 #: Distinct segments that a worker remembers.
-MOST_SEGMENTS = 3 << 17
+MOST_SEGMENTS = 1 << 18
 #: SentencePiece's piece types, model types and penalty: fixed values.
 NORMAL, BYTE, USER = 1, 6, 4
 RANKED = 2
@@ -298,6 +298,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 yield pa.record_batch([part.column(0), part.column(1), lists], ["doc_id", "text", "ids"])
         tidy()
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, text string, ids array<int>")
 
 

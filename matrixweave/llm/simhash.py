@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matrixweave.llm.common import connected_components, pieces_of, stash
+from matrixweave.llm.common import connected_components, pieces_of, small_batches, stash
 
 WORDS, SEED, DISTANCE = 3, 42, 2
 MOST = 512
@@ -85,6 +85,7 @@ def fingerprints64(docs: DataFrame, words: int = WORDS, seed: int = SEED, id_col
                 hashes = np.fromiter((h for r in rows for h in r), np.uint64, int(offsets[-1]))
                 yield pa.record_batch([part.column(0), pa.array(majority(hashes, offsets).view(np.int64))], ["doc_id", "fp"])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 

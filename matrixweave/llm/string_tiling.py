@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matrixweave.llm.common import carried, pieces_of, released, split_words, tidy
+from matrixweave.llm.common import carried, pieces_of, released, small_batches, split_words, tidy
 
 LEAST, THRESHOLD = 4, 0.6
 MOST_BYTES = 32 << 20
@@ -186,6 +186,7 @@ OUT = "doc_id long, item_id long, words int, covered int, coverage double, tiles
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, threshold: float = THRESHOLD, most_bytes: int = MOST_BYTES, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, words, covered, coverage, tiles) of each document and item that contaminates it."""
+    small_batches(docs.sparkSession)
     if benchmark_bytes(benchmark, item_text_col) > most_bytes:
         return _joined(docs, benchmark, least, threshold, id_col, text_col, item_col, item_text_col)
     seeds = docs.sparkSession.sparkContext.broadcast(collect_seeds(benchmark, least, item_col, item_text_col))
@@ -207,6 +208,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, thr
 
     Beyond ``most_bytes`` of benchmark, rows that share their doc_id with a contaminated row go too.
     """
+    small_batches(docs.sparkSession)
     if benchmark_bytes(benchmark, item_text_col) > most_bytes:
         gone = _joined(docs, benchmark, least, threshold, id_col, text_col, item_col, item_text_col).select(F.col("doc_id").alias("_gone")).distinct()
         return released(carried(docs, id_col, text_col).join(gone, F.col("_id") == F.col("_gone"), "left_anti"), docs)

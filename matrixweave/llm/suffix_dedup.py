@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matrixweave.llm.common import mixed, pieces_of, stash, tidy
+from matrixweave.llm.common import mixed, pieces_of, small_batches, stash, tidy
 
 LENGTH, GRAIN, MOST = 400, 64, 8192
 SEGMENT = 1 << 20
@@ -278,6 +278,7 @@ def keep_bytes(data: bytes, spans: list[dict], length: int) -> tuple[bytes, int,
 
 def dedup_substrings(docs: DataFrame, length: int = LENGTH, grain: int = GRAIN, most: int = MOST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept) of each row; kept: the bytes that stay, as binary."""
+    small_batches(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).cast("binary").alias("data"))
     # Equal rows are one string with a weight; its key tells rows with one doc_id apart.
     keyed = own.select(F.coalesce("doc_id", F.lit(-1)).alias("s1"), F.xxhash64("doc_id", "data").alias("s2"), F.lit(1).cast("long").alias("weight"), "data", "doc_id")

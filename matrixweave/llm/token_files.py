@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from matrixweave.llm.common import new_path, pieces_of, tidy
+from matrixweave.llm.common import new_path, pieces_of, small_batches, tidy
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
@@ -204,6 +204,7 @@ def token_rows(docs: DataFrame, path: str, end_id: int = END_ID, id_col: str = "
                 yield pa.record_batch([part.column(0), lists, pa.array(np.diff(bounds), pa.int64())], ["doc_id", "ids", "n_tokens"])
         tidy()
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids array<int>, n_tokens long")
 
 
