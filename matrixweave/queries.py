@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from matrixweave.functions import edges as edge_functions
 from matrixweave.functions import scale
-from matrixweave.operators import graph, patches, spatial, stats
+from matrixweave.operators import cluster, denoise, geometry, graph, patches, skeleton, spatial, stats, structures, thresholds
 from matrixweave.plans import adapters as at
+from matrixweave.sources import images, sinks, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -661,3 +662,154 @@ SELECT sample_id, o.patch_id AS id, CASE WHEN n >= 2 THEN predicted ELSE ecm_clu
 def _(spark, sf):
     own = at.patches(spark, sf).select("sample_id", F.col("patch_id").alias("id"), "x", "y", F.col("ecm_cluster").alias("label"), (F.col("patch_id") * 13 % 6 - 1).cast("int").alias("predicted"), (F.col("patch_id") * 29 % 100 / 100.0).alias("anomaly"))
     return patches.denoise(own).select("sample_id", "id", "denoised")
+
+
+# Sources, sinks, geometry, thresholds, clusters and models.
+
+
+@query("panel_summary", """SELECT count(*) AS n_channels, CAST(sum((p_size % 2 = 1)::INT) AS BIGINT) AS n_ecm FROM part WHERE p_size % 3 <> 0""", P)
+def _(spark, sf):
+    rows = at.table(spark, sf, "part").select(F.col("p_partkey").alias("pos"), F.col("p_name").alias(" name "), (F.col("p_size") % 2).alias("ecm"), F.when(F.col("p_size") % 3 != 0, 1).otherwise(0).alias("keep"))
+    return tables.panel_summary(tables.panel(rows)).drop("aligned")
+
+
+@query("sample_groups", "SELECT * FROM samples WHERE grp <> 'ASIA'", S)
+def _(spark, sf):
+    own = at.samples(spark, sf)
+    return tables.sample_groups(own.withColumn("grp", F.when(F.col("grp") != "ASIA", F.col("grp"))), "grp")
+
+
+@query("input_summary", """SELECT coalesce(a.sample_id, b.sample_id) AS sample_id, n_cells, n_types, n_untyped, n_channels, height, width, least, most FROM
+  (SELECT sample_id, count(*) AS n_cells, count(DISTINCT cell_type) AS n_types, CAST(sum((cell_type IS NULL)::INT) AS BIGINT) AS n_untyped FROM cells GROUP BY 1) a FULL JOIN
+  (SELECT sample_id, count(DISTINCT channel) AS n_channels, max(y) + 1 AS height, max(x) + 1 AS width, round(min(v), 6) AS least, round(max(v), 6) AS most FROM pixels GROUP BY 1) b ON a.sample_id = b.sample_id""", C, PX)
+def _(spark, sf):
+    return rounded(tables.input_summary(at.cells(spark, sf), at.pixels(spark, sf)))
+
+
+@query("region_points", "SELECT sample_id AS region, CAST(row_number() OVER (PARTITION BY sample_id ORDER BY patch_id) - 1 AS INTEGER) AS instance_id, x, y, ecm_cluster FROM patches", P)
+def _(spark, sf):
+    return sinks.region_points(at.patches(spark, sf))
+
+
+@query("graph_export", """num AS (SELECT sample_id, patch_id, CAST(row_number() OVER (PARTITION BY sample_id ORDER BY patch_id) - 1 AS INTEGER) AS node FROM patches)
+SELECT b.sample_id, s.node AS source, t.node AS target FROM both_ways b JOIN num s ON s.patch_id = b.src JOIN num t ON t.patch_id = b.dst""", P, LATTICE_SQL, BOTH_SQL)
+def _(spark, sf):
+    nodes = at.patches(spark, sf).select("sample_id", F.col("patch_id").alias("id"))
+    return sinks.graph_tables(nodes, lattice(spark, sf))[1].select("sample_id", "source", "target")
+
+
+@query("crop", "SELECT sample_id, channel, y - 10 AS y, x - 90 AS x, round(v, 6) AS v FROM pixels WHERE y BETWEEN 10 AND 29 AND x BETWEEN 90 AND 109", PX)
+def _(spark, sf):
+    return rounded(images.crop(at.pixels(spark, sf), 90, 10, 20, 20))
+
+
+@query("tiles_with_halo", """edge AS (SELECT sample_id, max(y) AS h, max(x) AS w FROM pixels GROUP BY 1),
+t AS (SELECT DISTINCT p.sample_id, channel, y, x, v, CAST(floor((y + a.d) / 32.0) AS INTEGER) AS ty, CAST(floor((x + b.d) / 32.0) AS INTEGER) AS tx FROM pixels p, (VALUES (-4), (0), (4)) a(d), (VALUES (-4), (0), (4)) b(d))
+SELECT t.sample_id, ty, tx, count(*) AS n, CAST(sum((y // 32 = ty AND x // 32 = tx)::INT) AS BIGINT) AS n_inner, round(sum(v), 6) AS total FROM t JOIN edge e USING (sample_id)
+WHERE ty >= 0 AND tx >= 0 AND ty * 32 <= h AND tx * 32 <= w GROUP BY 1, 2, 3""", PX)
+def _(spark, sf):
+    rows = images.with_halo(at.pixels(spark, sf), 32, 4)
+    return rounded(rows.groupBy("sample_id", "ty", "tx").agg(F.count("*").alias("n"), F.sum(F.col("inner").cast("int")).alias("n_inner"), F.sum("v").alias("total")))
+
+
+@query("delaunay_edges")
+def _(spark, sf):
+    return rounded(geometry.delaunay_edges(at.points(spark, sf)))
+
+
+@query("delaunay_bipartite")
+def _(spark, sf):
+    p = at.points(spark, sf)
+    return rounded(geometry.delaunay_bipartite(p.where("id % 3 = 0"), p.where("id % 3 <> 0")))
+
+
+@query("central_voids")
+def _(spark, sf):
+    p = at.points(spark, sf)
+    return rounded(geometry.central_voids(p.join(graph.components(p, spatial.radius_edges(p, RADIUS)), ["sample_id", "id"]), RADIUS))
+
+
+@query("path_measures")
+def _(spark, sf):
+    p = at.points(spark, sf)
+    edges = spatial.radius_edges(p, RADIUS)
+    return rounded(geometry.path_measures(graph.components(p, edges), edges))
+
+
+for _method in thresholds.METHODS:
+
+    @query(f"threshold_{_method}")
+    def _(spark, sf, method=_method):
+        return rounded(thresholds.thresholds(at.pixels(spark, sf), method))
+
+
+@query("adaptive_signal")
+def _(spark, sf):
+    return thresholds.adaptive_signal(block_rows(spark, sf), thresholds.thresholds(at.pixels(spark, sf), "otsu"))
+
+
+@query("skeleton_features")
+def _(spark, sf):
+    return rounded(skeleton.block_skeletons(block_rows(spark, sf), BLOCK))
+
+
+@query("kmeans_patches")
+def _(spark, sf):
+    return cluster.kmeans(at.patches(spark, sf), ["f0", "f1"], CLUSTERS).groupBy("cluster").agg(F.count("*").alias("n"))
+
+
+@query("cluster_quality")
+def _(spark, sf):
+    own = cluster.kmeans(at.patches(spark, sf), ["f0", "f1"], CLUSTERS)
+    return rounded(cluster.silhouette(own, "patch_id").crossJoin(cluster.calinski_harabasz(own)))
+
+
+@query("neighbourhood_clusters")
+def _(spark, sf):
+    cells = at.cells(spark, sf).select("sample_id", F.col("cell_id").alias("id"), "cell_type", "x", "y")
+    return cluster.neighbourhoods(cells, spatial.knn_edges(cells, NEAREST)).select("sample_id", "id", "cluster")
+
+
+def _folds(spark, sf):
+    return at.patches(spark, sf).select("sample_id").distinct().withColumn("fold", (F.col("sample_id") % 2).cast("string"))
+
+
+def _corrupted(spark, sf):
+    art = F.col("patch_id") % 9 == 0
+    label = F.when(art & (F.col("ecm_cluster") >= 0), (F.col("ecm_cluster") + 2) % CLUSTERS).otherwise(F.col("ecm_cluster"))
+    return at.patches(spark, sf).select("sample_id", F.col("patch_id").alias("id"), label.alias("label"), art.alias("truth"))
+
+
+def _builder(spark, sf, context):
+    cells = at.cells(spark, sf).select("cell_id", "cell_type")
+    types = sorted(r[0] for r in cells.select("cell_type").distinct().collect())
+    return lambda rows: denoise.features(rows, cells, at.cross_edges(spark, sf), lattice(spark, sf), types, CLUSTERS, context)
+
+
+@query("held_out_scores")
+def _(spark, sf):
+    return rounded(denoise.areas(denoise.held_out(labels(spark, sf), _corrupted(spark, sf), _builder(spark, sf, "joint"), _folds(spark, sf))))
+
+
+@query("context_ablation")
+def _(spark, sf):
+    builders = {c: _builder(spark, sf, c) for c in ("cell", "ecm", "joint")}
+    return rounded(denoise.summary(denoise.ablation(labels(spark, sf), _corrupted(spark, sf), builders, _folds(spark, sf))))
+
+
+@query("annotate_structures")
+def _(spark, sf):
+    p = at.points(spark, sf).withColumn("cluster", F.col("id") % 4)
+    return structures.annotate(p, ["VAL"], 2, RADIUS, 3).groupBy("sample_id", "structure").agg(F.count("*").alias("n"))
+
+
+@query("split_structures")
+def _(spark, sf):
+    return structures.split(at.points(spark, sf).select("sample_id", "id", "x", "y"), "islet", RADIUS, 3)
+
+
+@query("structure_shapes")
+def _(spark, sf):
+    p = at.points(spark, sf)
+    own = structures.split(p.select("sample_id", "id", "x", "y"), "islet", RADIUS, 3).join(p.select("id", (F.col("value") > 0).cast("int").alias("flag")), "id")
+    return rounded(structures.shape_features(own))
