@@ -12,7 +12,7 @@ import ctypes
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -123,6 +123,22 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+#: What drops each memory that a Python worker keeps between tasks, by its name.
+_MEMORIES: dict[str, Callable[[], None]] = {}
+
+
+def memory(name: str, clear: Callable[[], None]) -> None:
+    """Make a memory known, so that ``claim`` can drop it."""
+    _MEMORIES[name] = clear
+
+
+def claim(*names: str) -> None:
+    """Drop all memories of this worker but the ones named: it may have served other operators before."""
+    for name, clear in _MEMORIES.items():
+        if name not in names:
+            clear()
+
+
 def tidy() -> None:
     """Give what a task no longer uses back to the system; Python workers live on after it."""
     pa.default_memory_pool().release_unused()

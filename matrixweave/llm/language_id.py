@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matrixweave.llm.common import carried, released, small_batches, tidy
+from matrixweave.llm.common import carried, claim, released, small_batches, tidy
 
 SAMPLE_DOCS, DOC_CHARS, LANG_CHARS, ALL_CHARS = 256, 400, 32_000, 1_500_000
 BLOCK = 1024
@@ -211,6 +211,7 @@ def predictor(docs: DataFrame, model: Model):
 
     @F.arrow_udf(RESULT)
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        claim()
         own = shared.value
         tidy()
         table = symbol_table(own.letters)

@@ -15,6 +15,7 @@ Zipf's law: ln(1 / (rank + 1)), less the log of the sum over all ranks.
 from __future__ import annotations
 
 import functools
+import hashlib
 import re
 import zlib
 from collections.abc import Iterator
@@ -25,11 +26,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matrixweave.llm.common import pieces_of, small_batches, tidy
+from matrixweave.llm.common import claim, memory, pieces_of, small_batches, tidy
 from matrixweave.llm.token_files import Ragged
 
 MODEL = "piece_bpe_32k.model"
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 #: Bytes beyond which a segment is searched by itself.
 LONG = 48
 #: Segments that are searched in step.
@@ -87,6 +88,7 @@ class Model:
             if kind == BYTE:
                 self.byte_id[int(piece[1:-1], 16)] = i
             self.surface.append(bytes([int(piece[1:-1], 16)]) if kind == BYTE else piece.replace(MARKER, b" ") if kind in (NORMAL, USER) else b"")
+        self.is_byte = np.isin(np.arange(self.size), self.byte_id)
         if (self.byte_id < 0).any():
             raise ValueError("the model has no byte fallback")
         keys = {pieces[i][0].replace(MARKER, MARKER_BYTE): i for i in reversed(own)}
@@ -265,6 +267,9 @@ def _segments(path: str) -> Ragged:
     return Ragged(load(path).encode_segments, MOST_SEGMENTS)
 
 
+memory("segments", _segments.cache_clear)
+
+
 def encode_texts(text: pa.Array, words: Ragged) -> tuple[np.ndarray, np.ndarray]:
     """All ids of the texts and the offsets by text; null and empty texts have none."""
     text = pc.fill_null(text, "")
@@ -290,6 +295,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     """(doc_id, text, ids) of each row of ``docs``; other columns are not carried."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("segments")
         words = _segments(path)
         for batch in batches:
             for part in pieces_of(batch, 1, SLICE_BYTES):
@@ -302,26 +308,26 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, text string, ids array<int>")
 
 
+def _counts(model: Model, ids: np.ndarray, bounds: np.ndarray) -> list[pa.Array]:
+    """n_pieces, n_fallback and ids_crc32 of each list of ids."""
+    raw = ids.astype("<u4", copy=False)
+    sums = [zlib.crc32(raw[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
+    back = np.concatenate(([0], np.cumsum(model.is_byte[ids])))[bounds]
+    return [pa.array(np.diff(bounds), pa.int64()), pa.array(np.diff(back), pa.int64()), pa.array(sums, pa.int64())]
+
+
 def decode(rows: DataFrame, path: str) -> DataFrame:
     """``rows(doc_id, text, ids)`` plus decoded, n_pieces, n_fallback and ids_crc32; null ids are no ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(path)
-        fallback = np.zeros(model.size, bool)
-        fallback[model.byte_id] = True
         for batch in batches:
             lists = batch.column(2)
             lengths = np.asarray(pc.fill_null(pc.list_value_length(lists), 0)).astype(np.int64)
             ids = np.asarray(pc.list_flatten(lists)).astype(np.int32, copy=False)
             bounds = np.concatenate(([0], np.cumsum(lengths)))
             texts = [t.decode("utf-8", "replace") for t in model.decode(ids, bounds)]
-            raw = ids.astype("<u4", copy=False)
-            sums = [zlib.crc32(raw[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
-            back = np.concatenate(([0], np.cumsum(fallback[ids])))[bounds]
-            yield pa.record_batch(
-                [*batch.columns, pa.array(texts, pa.string()), pa.array(lengths), pa.array(np.diff(back), pa.int64()), pa.array(sums, pa.int64())],
-                [*batch.schema.names, "decoded", "n_pieces", "n_fallback", "ids_crc32"],
-            )
+            yield pa.record_batch([*batch.columns, pa.array(texts, pa.string()), *_counts(model, ids, bounds)], [*batch.schema.names, "decoded", "n_pieces", "n_fallback", "ids_crc32"])
         tidy()
 
     return rows.select("doc_id", "text", "ids").mapInArrow(run, "doc_id long, text string, ids array<int>, decoded string, n_pieces long, n_fallback long, ids_crc32 long")
@@ -329,10 +335,23 @@ def decode(rows: DataFrame, path: str) -> DataFrame:
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_pieces, n_fallback, ids_crc32, decoded_sha256, exact) of each row; exact: decoding gave the text back."""
-    done = decode(encode(docs, path, id_col, text_col), path)
-    return done.select(
-        "doc_id", "n_pieces", "n_fallback", "ids_crc32", F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("exact")
-    )
+    names = ["doc_id", "n_pieces", "n_fallback", "ids_crc32", "decoded_sha256", "exact"]
+
+    # As decode(encode(docs)), with one Python worker a task instead of two.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("segments")
+        words, model = _segments(path), load(path)
+        for batch in batches:
+            for part in pieces_of(batch, 1, SLICE_BYTES):
+                ids, bounds = encode_texts(part.column(1), words)
+                texts = model.decode(ids, bounds)
+                own = [(t or "").encode() for t in part.column(1).to_pylist()]
+                digests = [hashlib.sha256(t).hexdigest() for t in texts]
+                yield pa.record_batch([part.column(0), *_counts(model, ids, bounds), pa.array(digests), pa.array([a == b for a, b in zip(texts, own)])], names)
+        tidy()
+
+    small_batches(docs.sparkSession)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_pieces long, n_fallback long, ids_crc32 long, decoded_sha256 string, exact boolean")
 
 
 def op2_sentence_pieces(spark, sf_dir):

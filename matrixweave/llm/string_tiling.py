@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matrixweave.llm.common import carried, pieces_of, released, small_batches, split_words, tidy
+from matrixweave.llm.common import carried, claim, memory, pieces_of, released, small_batches, split_words, tidy
 
 LEAST, THRESHOLD = 4, 0.6
 MOST_BYTES = 32 << 20
@@ -69,6 +69,9 @@ def word_hashes() -> Words:
     return Words()
 
 
+memory("word hashes", word_hashes.cache_clear)
+
+
 def fingerprints(words: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Karp-Rabin fingerprints of all runs of ``n`` words within a text: (fingerprint, text, position of its first word)."""
     if len(words) < n:
@@ -192,6 +195,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, thre
     seeds = docs.sparkSession.sparkContext.broadcast(collect_seeds(benchmark, least, item_col, item_text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("word hashes")
         hashed = word_hashes()
         for batch in batches:
             for part in pieces_of(batch, 1, SLICE_BYTES):
@@ -216,6 +220,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, thr
 
     @F.arrow_udf("boolean")
     def dirty(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        claim("word hashes")
         hashed = word_hashes()
         for batch in batches:
             out = np.zeros(len(batch), bool)
@@ -248,6 +253,7 @@ def _joined(docs, benchmark, least, threshold, id_col, text_col, item_col, item_
 
     def prints(least_only: int | None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            claim("word hashes")
             hashed = word_hashes()
             for batch in batches:
                 for part in pieces_of(batch, 2, SLICE_BYTES):

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matrixweave.llm.common import mixed, pieces_of, small_batches, stash, tidy
+from matrixweave.llm.common import claim, mixed, pieces_of, small_batches, stash, tidy
 
 LENGTH, GRAIN, MOST = 400, 64, 8192
 SEGMENT = 1 << 20
@@ -162,6 +162,7 @@ FOUND = "s1 long, s2 long, spans array<struct<a:int,b:int>>"
 
 def _runs(length: int, grain: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim()
         for batch in batches:
             for part in pieces_of(batch, 3, RUN_BYTES):
                 data = pc.fill_null(part.column(3), b"")

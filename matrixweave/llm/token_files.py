@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from matrixweave.llm.common import new_path, pieces_of, small_batches, tidy
+from matrixweave.llm.common import claim, memory, new_path, pieces_of, small_batches, tidy
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
@@ -178,6 +178,9 @@ def _words(path: str) -> WordIds:
     return WordIds(path)
 
 
+memory("words", _words.cache_clear)
+
+
 def encode_texts(text: pa.Array, words: WordIds, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """All ids of the texts, each text's followed by ``end_id``, and the offsets by text."""
     text = pc.fill_null(text, "")
@@ -196,6 +199,7 @@ def token_rows(docs: DataFrame, path: str, end_id: int = END_ID, id_col: str = "
     """(doc_id, ids, n_tokens) of each row; a null text is empty and has the end id alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("words")
         words = _words(path)
         for batch in batches:
             for part in pieces_of(batch, 1, SLICE_BYTES):
