@@ -146,6 +146,26 @@ def tidy() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], column: int, most_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Batches in order, put together or cut to about ``most_bytes`` of text each: distinct words pay off over much text."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+
+    def whole() -> pa.RecordBatch:
+        return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        for part in pieces_of(batch, column, most_bytes):
+            own = int(pc.sum(pc.fill_null(pc.binary_length(part.column(column)), 0)).as_py() or 0)
+            if held and size + own > most_bytes:
+                yield whole()
+                held, size = [], 0
+            held.append(part)
+            size += own
+    if held:
+        yield whole()
+
+
 def split_words(text: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of A-Z-lowered texts: (code of each word, the distinct words, offsets by text)."""
     lists = pc.ascii_split_whitespace(pc.fill_null(pc.ascii_lower(text), ""))

@@ -26,11 +26,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matrixweave.llm.common import claim, memory, pieces_of, small_batches, tidy
+from matrixweave.llm.common import claim, gathered, memory, small_batches, tidy
 from matrixweave.llm.token_files import Ragged
 
 MODEL = "piece_bpe_32k.model"
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 8 << 20
 #: Bytes beyond which a segment is searched by itself.
 LONG = 48
 #: Segments that are searched in step.
@@ -297,11 +297,10 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("segments")
         words = _segments(path)
-        for batch in batches:
-            for part in pieces_of(batch, 1, SLICE_BYTES):
-                ids, bounds = encode_texts(part.column(1), words)
-                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.record_batch([part.column(0), part.column(1), lists], ["doc_id", "text", "ids"])
+        for part in gathered(batches, 1, SLICE_BYTES):
+            ids, bounds = encode_texts(part.column(1), words)
+            lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
+            yield pa.record_batch([part.column(0), part.column(1), lists], ["doc_id", "text", "ids"])
         tidy()
 
     small_batches(docs.sparkSession)
@@ -341,13 +340,12 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("segments")
         words, model = _segments(path), load(path)
-        for batch in batches:
-            for part in pieces_of(batch, 1, SLICE_BYTES):
-                ids, bounds = encode_texts(part.column(1), words)
-                texts = model.decode(ids, bounds)
-                own = [(t or "").encode() for t in part.column(1).to_pylist()]
-                digests = [hashlib.sha256(t).hexdigest() for t in texts]
-                yield pa.record_batch([part.column(0), *_counts(model, ids, bounds), pa.array(digests), pa.array([a == b for a, b in zip(texts, own)])], names)
+        for part in gathered(batches, 1, SLICE_BYTES):
+            ids, bounds = encode_texts(part.column(1), words)
+            texts = model.decode(ids, bounds)
+            own = [(t or "").encode() for t in part.column(1).to_pylist()]
+            digests = [hashlib.sha256(t).hexdigest() for t in texts]
+            yield pa.record_batch([part.column(0), *_counts(model, ids, bounds), pa.array(digests), pa.array([a == b for a, b in zip(texts, own)])], names)
         tidy()
 
     small_batches(docs.sparkSession)

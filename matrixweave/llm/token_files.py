@@ -24,12 +24,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from matrixweave.llm.common import claim, memory, new_path, pieces_of, small_batches, tidy
+from matrixweave.llm.common import claim, gathered, memory, new_path, small_batches, tidy
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 #: Bytes of text that are encoded at a time, and distinct words that a worker remembers.
-SLICE_BYTES, MOST_WORDS = 8 << 20, 1 << 20
+SLICE_BYTES, MOST_WORDS = 16 << 20, 1 << 20
 #: Words that are encoded in one call.
 AT_ONCE = 1 << 13
 LAYOUT = {
@@ -201,11 +201,10 @@ def token_rows(docs: DataFrame, path: str, end_id: int = END_ID, id_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("words")
         words = _words(path)
-        for batch in batches:
-            for part in pieces_of(batch, 1, SLICE_BYTES):
-                ids, bounds = encode_texts(part.column(1), words, end_id)
-                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.record_batch([part.column(0), lists, pa.array(np.diff(bounds), pa.int64())], ["doc_id", "ids", "n_tokens"])
+        for part in gathered(batches, 1, SLICE_BYTES):
+            ids, bounds = encode_texts(part.column(1), words, end_id)
+            lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
+            yield pa.record_batch([part.column(0), lists, pa.array(np.diff(bounds), pa.int64())], ["doc_id", "ids", "n_tokens"])
         tidy()
 
     small_batches(docs.sparkSession)
