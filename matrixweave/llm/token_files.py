@@ -29,11 +29,11 @@ from matrixweave.llm.common import claim, gathered, memory, new_path, small_batc
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 #: Bytes of text that are encoded at a time, and distinct words that a worker remembers.
-SLICE_BYTES, MOST_WORDS = 16 << 20, 1 << 20
+SLICE_BYTES, MOST_WORDS = 16 << 20, 3 << 19
 #: Words that are encoded in one call.
 AT_ONCE = 1 << 13
 LAYOUT = {
-    "compression": "zstd",
+    "compression": "snappy",
     "parquet.block.size": str(32 << 20),
     "parquet.page.size": str(256 << 10),
     "parquet.page.row.count.limit": "1000",
@@ -106,70 +106,92 @@ class WordIds:
         self.clear()
 
     def clear(self) -> None:
-        #: Each word's core and tail: the core's row * TAILS + the tail's row; row 0 has no ids.
-        self.number: dict[str, int] = {}
-        self.core: dict[str, int] = {"": 0}
+        #: Words seen, and each one's core and tail: the core's row * TAILS + the tail's number; row 0 has no ids.
+        self.known, self.packed = pa.array([], pa.string()), np.zeros(0, np.int64)
+        self.cores = pa.array([""], pa.string())
         self.tail: dict[str, int] = {"": 0}
-        self.starts, self.lengths, self.flat = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int32)
         self.tail_rows = np.zeros(self.TAILS, np.int64)
+        self.starts, self.lengths, self.flat = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int32)
 
-    def _add(self, words: list[str], flat: np.ndarray, lengths: np.ndarray) -> None:
-        self.core.update(zip(words, range(len(self.lengths), len(self.lengths) + len(words))))
+    def _add(self, flat: np.ndarray, lengths: np.ndarray) -> None:
         self.starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(lengths) - lengths))
         self.lengths = np.concatenate((self.lengths, lengths))
         self.flat = np.concatenate((self.flat, flat.astype(np.int32)))
 
-    def _add_alone(self, words: list[str]) -> None:
+    def _alone(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, each encoded as a text of its own, and how many each has."""
         ids = [np.array(e.ids, np.int32) for a in range(0, len(words), AT_ONCE) for e in self.tokenizer.encode_batch_fast(words[a : a + AT_ONCE], add_special_tokens=False)]
-        if ids:
-            self._add(words, np.concatenate(ids), np.fromiter(map(len, ids), np.int64, len(ids)))
+        return np.concatenate(ids) if ids else np.zeros(0, np.int32), np.fromiter(map(len, ids), np.int64, len(ids))
 
-    def _add_letters(self, words: list[str]) -> None:
-        parts, other = [], []
+    def _letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of words of letters, encoded as one text."""
+        parts = []
         for a in range(0, len(words), AT_ONCE):
             some = words[a : a + AT_ONCE]
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.int32)
             ends = np.flatnonzero(self.last[ids]) + 1
-            if len(ends) == len(some):
-                parts.append((some, ids, np.diff(ends, prepend=0)))
-            else:
-                other += some
-        if parts:
-            self._add([w for p in parts for w in p[0]], *(np.concatenate([p[k] for p in parts]) for k in (1, 2)))
-        self._add_alone(other)
-
-    def _learn(self, words: list[str]) -> None:
-        cut = []
-        for w in words:
-            core = w.rstrip(".,")
-            tail = w[len(core) :]
-            if not (self.marked and core.isalpha() and core.lower().isalpha() and is_normalized("NFC", core)) or (tail not in self.tail and len(self.tail) == self.TAILS):
-                core, tail = w, ""
-            elif tail not in self.tail:
-                self._add_alone([] if tail in self.core else [tail])
-                self.tail[tail] = len(self.tail)
-                self.tail_rows[self.tail[tail]] = self.core[tail]
-            cut.append((core, self.tail[tail]))
-        new = list({c for c, _ in cut if c not in self.core})
-        plain = [self.marked and c.isalpha() and c.lower().isalpha() and is_normalized("NFC", c) for c in new]
-        self._add_letters([c for c, p in zip(new, plain) if p])
-        self._add_alone([c for c, p in zip(new, plain) if not p])
-        self.number.update((w, self.core[c] * self.TAILS + t) for w, (c, t) in zip(words, cut))
-
-    def __call__(self, distinct: list[str], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            parts.append((ids, np.diff(ends, prepend=0)) if len(ends) == len(some) else self._alone(some))
+        return tuple(map(np.concatenate, zip(*parts))) if parts else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+
+    def _tail(self, tail: str) -> int:
+        """The number of a tail, -1 if there are too many."""
+        if tail not in self.tail:
+            if len(self.tail) == self.TAILS:
+                return -1
+            self.tail_rows[len(self.tail)] = len(self.lengths)
+            self.tail[tail] = len(self.tail)
+            self._add(*self._alone([tail]))
+            self.cores = pa.concat_arrays([self.cores, pa.array([None], pa.string())])  # rows and cores keep step
+        return self.tail[tail]
+
+    def _learn(self, words: pa.Array) -> np.ndarray:
+        """The numbers of new words."""
+        core = pc.utf8_rtrim(words, characters=".,")
+        simple = np.asarray(pc.and_(pc.utf8_is_alpha(core), pc.string_is_ascii(core)).cast(pa.int8())).astype(bool)
+        other = np.flatnonzero(~simple & np.asarray(pc.utf8_is_alpha(core).cast(pa.int8())).astype(bool))
+        for i, c in zip(other.tolist(), core.take(pa.array(other)).to_pylist()):
+            simple[i] = c.lower().isalpha() and is_normalized("NFC", c)
+        if not self.marked:
+            simple[:] = False
+        cut = np.asarray(pc.binary_length(words)) - np.asarray(pc.binary_length(core))
+        number = np.zeros(len(words), np.int64)
+        rows = np.flatnonzero(simple & (cut > 0))
+        tails = [w[-n:] for w, n in zip(words.take(pa.array(rows)).to_pylist(), cut[rows].tolist())]
+        found = {t: self._tail(t) for t in set(tails)}
+        number[rows] = np.fromiter(map(found.__getitem__, tails), np.int64, len(tails))
+        simple[number < 0] = False
+        number = np.maximum(number, 0) * simple
+        coded = pc.if_else(pa.array(simple), core, words).dictionary_encode()
+        codes, distinct = np.asarray(coded.indices), coded.dictionary
+        of_letters = np.zeros(len(distinct), bool)
+        of_letters[codes[simple]] = True
+        row = np.asarray(pc.fill_null(pc.index_in(distinct, value_set=self.cores), -1)).astype(np.int64)
+        for letters in (True, False):
+            new = np.flatnonzero((row < 0) & (of_letters == letters))
+            values = distinct.take(pa.array(new))
+            row[new] = len(self.lengths) + np.arange(len(new))
+            self._add(*(self._letters if letters else self._alone)(values.to_pylist()))
+            self.cores = pa.concat_arrays([self.cores, values])
+        return row[codes] * self.TAILS + number
+
+    def __call__(self, distinct: pa.Array, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the words ``distinct[codes]`` one after another, and the offsets by word."""
-        new = [w for w in distinct if w not in self.number]
-        if new and len(self.number) + len(new) > self.most:
+        at = np.asarray(pc.fill_null(pc.index_in(distinct, value_set=self.known), -1)).astype(np.int64)
+        if (at < 0).any() and len(self.known) + len(at) > self.most:
             self.clear()
-            new = distinct
-        if new:
-            self._learn(new)
-        packed = np.fromiter(map(self.number.__getitem__, distinct), np.int64, len(distinct))
+            at[:] = -1
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            words = distinct.take(pa.array(new))
+            at[new] = len(self.known) + np.arange(len(new))
+            self.packed = np.concatenate((self.packed, self._learn(words)))
+            self.known = pa.concat_arrays([self.known, words])
+        packed = self.packed[at]
         rows = np.stack((packed // self.TAILS, self.tail_rows[packed % self.TAILS]), axis=1)[codes].reshape(-1)
         lengths = self.lengths[rows]
         ends = np.concatenate(([0], np.cumsum(lengths)))
-        at = np.repeat(self.starts[rows] - ends[:-1], lengths) + np.arange(ends[-1])
-        return self.flat[at], ends[::2]
+        spot = np.repeat(self.starts[rows] - ends[:-1], lengths) + np.arange(ends[-1])
+        return self.flat[spot], ends[::2]
 
 
 @functools.lru_cache(1)
@@ -190,7 +212,7 @@ def encode_texts(text: pa.Array, words: WordIds, end_id: int) -> tuple[np.ndarra
     offsets = np.asarray(lists.offsets).astype(np.int64)
     coded = lists.values.slice(int(offsets[0]), int(offsets[-1] - offsets[0])).dictionary_encode()
     offsets -= offsets[0]
-    ids, ends = words(coded.dictionary.to_pylist(), np.asarray(coded.indices))
+    ids, ends = words(coded.dictionary, np.asarray(coded.indices))
     bounds = ends[offsets]
     return np.insert(ids, bounds[1:], end_id).astype(np.int32), bounds + np.arange(len(bounds))
 
