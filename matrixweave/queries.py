@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from matrixweave.functions import edges as edge_functions
 from matrixweave.functions import scale
-from matrixweave.operators import cluster, denoise, geometry, graph, patches, skeleton, spatial, stats, structures, thresholds
+from matrixweave.operators import cluster, communities, denoise, filters, geometry, graph, nn, patches, skeleton, spatial, stats, structures, thresholds
 from matrixweave.plans import adapters as at
 from matrixweave.sources import images, sinks, tables
 
@@ -813,3 +813,45 @@ def _(spark, sf):
     p = at.points(spark, sf)
     own = structures.split(p.select("sample_id", "id", "x", "y"), "islet", RADIUS, 3).join(p.select("id", (F.col("value") > 0).cast("int").alias("flag")), "id")
     return rounded(structures.shape_features(own))
+
+
+@query("graph_communities")
+def _(spark, sf):
+    return communities.communities(lattice(spark, sf))
+
+
+@query("ridge_filter")
+def _(spark, sf):
+    return rounded(filters.ridge_filter(at.pixels(spark, sf), (1, 2)))
+
+
+@query("segment_threshold")
+def _(spark, sf):
+    return filters.segment(at.pixels(spark, sf), "triangle", 3)
+
+
+def _graphs(spark, sf):
+    """One-hot cluster graphs of the patches' samples, signal only, in two classes of samples."""
+    own = at.patches(spark, sf).where("ecm_cluster >= 0")
+    nodes = own.select(F.col("sample_id").cast("long").alias("graph"), F.col("patch_id").alias("node"), (F.col("sample_id") % 2).cast("long").alias("label"), F.array(*[(F.col("ecm_cluster") == c).cast("double") for c in range(CLUSTERS)]).alias("x"))
+    keep = nodes.select(F.col("graph").cast("int").alias("sample_id"), "node")
+    edges = lattice(spark, sf).join(keep.withColumnRenamed("node", "src"), ["sample_id", "src"], "left_semi").join(keep.withColumnRenamed("node", "dst"), ["sample_id", "dst"], "left_semi")
+    folds = nodes.select("graph").distinct().withColumn("fold", F.expr("cast(graph div 2 % 2 as int)"))
+    return nodes, edges.select(F.col("sample_id").cast("long").alias("graph"), "src", "dst"), folds
+
+
+@query("node_classifier")
+def _(spark, sf):
+    return rounded(nn.predictions(nn.classify(*_graphs(spark, sf), epochs=30)))
+
+
+@query("cluster_importance")
+def _(spark, sf):
+    return rounded(nn.importance(*_graphs(spark, sf), steps=5, epochs=30).groupBy("class", "feature").agg(F.avg("attribution").alias("mean"), F.avg(F.abs("attribution")).alias("size")))
+
+
+@query("masked_embeddings")
+def _(spark, sf):
+    nodes, edges, _folds = _graphs(spark, sf)
+    z = nn.encode_masked(nodes.select(F.col("graph").alias("sample_id"), "node", "x"), edges.withColumnRenamed("graph", "sample_id"), 8, epochs=20)
+    return z.select("sample_id", "node", F.size("z").alias("width"))

@@ -308,3 +308,87 @@ def test_row_order_does_not_matter(spark):
     a = {tuple(r) for r in spatial.knn_edges(df, 3).collect()}
     b = {tuple(r) for r in spatial.knn_edges(df.orderBy(F.desc("id")).repartition(5), 3).collect()}
     assert a == b
+
+
+def test_network_gradients():
+    from matrixweave.operators.nn import Means, Network
+
+    rng = np.random.default_rng(6)
+    x, means, net = rng.normal(size=(7, 3)), Means(7, np.array([0, 1, 2, 2, 5]), np.array([1, 0, 3, 4, 6])), Network(3, 2, 4, seed=1)
+    weight = rng.normal(size=(7, 2))
+    loss = lambda: float((net.forward(x, means)[0] * weight).sum())
+    grads, into = net.backward(weight, net.forward(x, means)[1], means)
+    for name in ("W", "A0", "B1", "c0", "O"):
+        at = tuple(0 for _ in net.p[name].shape)
+        before = net.p[name][at]
+        net.p[name][at] = before + 1e-6
+        up = loss()
+        net.p[name][at] = before - 1e-6
+        assert (up - loss()) / 2e-6 == pytest.approx(grads[name][at], rel=1e-4, abs=1e-6)
+        net.p[name][at] = before
+    x[2, 1] += 1e-6
+    up = loss()
+    x[2, 1] -= 2e-6
+    assert (up - loss()) / 2e-6 == pytest.approx(into[2, 1], rel=1e-4, abs=1e-6)
+
+
+def test_classifier_learns_held_out_graphs(spark):
+    from matrixweave.operators import nn
+
+    rng = np.random.default_rng(7)
+    nodes, pairs = [], []
+    for g in range(8):
+        for i in range(20):
+            c = int(rng.random() < (0.9 if g % 2 else 0.1))
+            nodes.append((g, i, g % 2, [float(c), 1.0 - c]))
+            pairs.append((g, i, (i + 1) % 20))
+    df = spark.createDataFrame(nodes, "graph long, node long, label long, x array<double>")
+    folds = spark.createDataFrame([(g, g // 4) for g in range(8)], "graph long, fold int")
+    edges_ = spark.createDataFrame(pairs, "graph long, src long, dst long")
+    got = {r.graph: r.predicted for r in nn.predictions(nn.classify(df, edges_, folds, epochs=60)).collect()}
+    assert got == {g: g % 2 for g in range(8)}
+    size = {(r["class"], r.feature): r.a for r in nn.importance(df, edges_, folds, 10, 60).groupBy("class", "feature").agg(F.avg(F.abs("attribution")).alias("a")).collect()}
+    assert len(size) == 4 and min(size.values()) > 0
+    z = nn.encode_masked(df.select(F.col("graph").alias("sample_id"), "node", "x"), edges_.withColumnRenamed("graph", "sample_id"), 4, epochs=5)
+    assert z.count() == 160
+
+
+def test_communities(spark):
+    from matrixweave.operators.communities import communities
+
+    clique = lambda a: [(a + i, a + j) for i in range(5) for j in range(i + 1, 5)]
+    got = {r.id: r.community for r in communities(edges(spark, clique(0) + clique(10) + [(4, 10)])).collect()}
+    assert len({got[i] for i in range(5)}) == 1 and len({got[i] for i in range(10, 15)}) == 1 and got[0] != got[10]
+
+
+def test_ridges_and_segments(spark):
+    from matrixweave.operators import filters
+
+    image = np.zeros((40, 40))
+    image[20] = 10
+    for method in ("sato", "frangi"):
+        v = filters.ridges(image, (2,), method)
+        assert v[20, 20] > 5 * v[10, 20]
+    y, x = np.mgrid[:40, :40]
+    v = np.where((y - 10) ** 2 + (x - 10) ** 2 < 16, 9.0, 1.0) + np.where((y - 30) ** 2 + (x - 28) ** 2 < 9, 9.0, 0)
+    df = spark.createDataFrame([(0, 0, int(a), int(b), float(v[a, b])) for a in range(40) for b in range(40)], "sample_id int, channel int, y int, x int, v double")
+    got = {r.label: r["count"] for r in filters.segment(df).groupBy("label").count().collect()}
+    assert got == {1: int(((y - 10) ** 2 + (x - 10) ** 2 < 16).sum()), 2: int(((y - 30) ** 2 + (x - 28) ** 2 < 9).sum())}
+    whole = {(r.y, r.x): r.v for r in filters.ridge_filter(df, (1,), tile=64).collect()}
+    tiled = {(r.y, r.x): r.v for r in filters.ridge_filter(df, (1,), tile=16).collect()}
+    assert whole.keys() == tiled.keys() and all(whole[k] == pytest.approx(tiled[k], abs=1e-6) for k in whole if 5 < k[0] < 34 and 5 < k[1] < 34)
+
+
+def test_patch_encoder(spark, tmp_path):
+    from pyspark.ml.functions import array_to_vector
+
+    from matrixweave.operators.nn import PatchEncoder
+
+    rng = np.random.default_rng(8)
+    df = spark.createDataFrame([(i, [float(v) for v in rng.normal(size=9)]) for i in range(30)], "id long, v array<double>").select("id", array_to_vector("v").alias("pixels"))
+    encoder = PatchEncoder(3).fit(df)
+    encoder.save(str(tmp_path / "m"))
+    with pytest.raises(Exception, match="exists"):
+        encoder.save(str(tmp_path / "m"))
+    a, b = ({r.id: r.latent for r in e.transform(df).collect()} for e in (encoder, PatchEncoder.load(str(tmp_path / "m"))))
+    assert a == b and len(a[0]) == 3
