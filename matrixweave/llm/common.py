@@ -83,11 +83,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
     seen = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+        # Minima are written apart from their joins, so that Spark can split a node of very many neighbours.
+        low = stash(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "cc-low")
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = stash(large, "cc-large")
+        unstash(low)
+        low = stash(large.groupBy("u").agg(F.min("v").alias("m")), "cc-low")
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = stash(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "cc")
+        unstash(low)
+        unstash(large)
         sign = tuple(after.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
         unstash(now)
         now = after
