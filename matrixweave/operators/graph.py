@@ -20,9 +20,11 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     seen = None
     while True:
         both = now.unionByName(now.select("sample_id", F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy(*key).agg(F.least(F.col("u"), F.min("v")).alias("m"))
+        # Minima are written apart from their joins, so that Spark can split a node of very many neighbours.
+        low = written(both.groupBy(*key).agg(F.least(F.col("u"), F.min("v")).alias("m")), "components")
         large = both.join(low, key).where("v > u").select("sample_id", F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy(*key).agg(F.min("v").alias("m"))
+        large = written(large, "components")
+        low = written(large.groupBy(*key).agg(F.min("v").alias("m")), "components")
         small = large.join(low, key).where("v <> m").select("sample_id", F.col("v").alias("u"), F.col("m").alias("v"))
         now = written(small.unionByName(low.select("sample_id", "u", F.col("m").alias("v"))).distinct(), "components")
         sign = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("sample_id", "u", "v"))).first())
