@@ -13,7 +13,8 @@ step at once through one table of all automata.  Whole texts are parsed.
 The model is fitted on a bounded sample: of each language the ``SAMPLE_DOCS`` documents
 of smallest hash of doc_id, at most ``DOC_CHARS`` characters of each and ``LANG_CHARS``
 in all (less if very many languages share ``ALL_CHARS``).  Rows without doc_id, text or
-lang, and held-out rows, are not learnt from.
+lang, and held-out rows, are not learnt from.  Rows that repeat a sampled doc_id are all
+learnt from, up to the bound; equal counts go to the first language by name.
 """
 
 from __future__ import annotations

@@ -7,6 +7,9 @@ identifiers, is its marginal size; a string that costs at least ``LEAST_RATE`` b
 character, more than words, names and repeats of the text around it do, is reported.
 Base spans are measured too and stay whatever they cost; a candidate that overlaps one
 is not reported again.  Offsets are in code points, ends exclusive.
+
+Null and empty texts have no spans.  Spans that start together are in the order of the
+kinds; equal spans of several kinds all stay.
 """
 
 from __future__ import annotations

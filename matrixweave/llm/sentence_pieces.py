@@ -10,6 +10,9 @@ so U+2581 in a text is no marker, and decoding always gives the text back.
 
 The public vocabulary at hand has merge ranks for scores.  They become log scores by
 Zipf's law: ln(1 / (rank + 1)), less the log of the sum over all ranks.
+
+Null and empty texts have no ids.  Of equally good paths, the one of the longer last
+piece wins.
 """
 
 from __future__ import annotations

@@ -75,7 +75,7 @@ def shingle_hashes(text: str | None, words: int, seed: int) -> list[int]:
 
 
 def fingerprints64(docs: DataFrame, words: int = WORDS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp) of each row; null, empty and blank texts have fingerprint zero."""
+    """(doc_id, fp) of each row, repeated rows included; null, empty and blank texts have fingerprint zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,7 +129,10 @@ def links2(nodes: DataFrame, most: int = MOST) -> DataFrame:
 
 
 def components2(prints: DataFrame, most: int = MOST) -> DataFrame:
-    """``prints(doc_id, fp)`` plus component_id, the smallest doc_id reachable over links of two bits or fewer."""
+    """``prints(doc_id, fp)`` plus component_id, the smallest doc_id reachable over links of two bits or fewer.
+
+    Fingerprint zero links like any other.  Null doc_ids are never the smallest, unless there is no other.
+    """
     nodes = stash(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
     joined = connected_components(links2(nodes.select("fp"), most))
     groups = nodes.join(joined.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
