@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from matrixweave.functions import edges as edge_functions
 from matrixweave.functions import scale
-from matrixweave.operators import cluster, communities, denoise, filters, geometry, graph, nn, patches, skeleton, spatial, stats, structures, thresholds
+from matrixweave.operators import cluster, cohort, communities, denoise, filters, geometry, graph, nn, patches, skeleton, spatial, stats, structures, thresholds
 from matrixweave.plans import adapters as at
 from matrixweave.sources import images, sinks, tables
 
@@ -855,3 +855,64 @@ def _(spark, sf):
     nodes, edges, _folds = _graphs(spark, sf)
     z = nn.encode_masked(nodes.select(F.col("graph").alias("sample_id"), "node", "x"), edges.withColumnRenamed("graph", "sample_id"), 8, epochs=20)
     return z.select("sample_id", "node", F.size("z").alias("width"))
+
+
+CHANNELS_SQL = "two AS (SELECT sample_id, 0 AS channel, y, x, v FROM pixels UNION ALL SELECT sample_id, 1, y, x, v * v / 10 FROM pixels)"
+
+
+def _two_channels(spark, sf):
+    own = at.pixels(spark, sf)
+    return own.unionByName(own.withColumns({"channel": F.lit(1), "v": F.col("v") * F.col("v") / 10}))
+
+
+@query("cohort_zscore", "SELECT sample_id, channel, y, x, round((v - avg(v) OVER w) / CASE WHEN stddev_pop(v) OVER w > 0 THEN stddev_pop(v) OVER w ELSE 1 END, 6) AS v FROM two WINDOW w AS (PARTITION BY channel)", PX, CHANNELS_SQL)
+def _(spark, sf):
+    return rounded(cohort.normalise(_two_channels(spark, sf), spark.createDataFrame([(0, True), (1, False)], "channel int, is_ecm boolean")).select("sample_id", "channel", "y", "x", "v"))
+
+
+@query("cohort_arcsinh", """top AS (SELECT channel, quantile_cont(asinh(v / 5.0::DOUBLE), 0.995) AS t FROM two GROUP BY 1)
+SELECT sample_id, channel, y, x, round(CASE WHEN channel = 0 AND t > 0 THEN least(greatest(asinh(v / 5.0::DOUBLE) / t, 0.0), 1.0) ELSE asinh(v / 5.0::DOUBLE) END, 6) AS v FROM two JOIN top USING (channel)""", PX, CHANNELS_SQL)
+def _(spark, sf):
+    channels = spark.createDataFrame([(0, True), (1, False)], "channel int, is_ecm boolean")
+    return rounded(cohort.normalise(_two_channels(spark, sf), channels, "pooled_arcsinh_percentile", 5.0).select("sample_id", "channel", "y", "x", "v"))
+
+
+for _mode, _rule in {"any": "max((m >= cut)::INT) = 1", "all": "min((m >= cut)::INT) = 1", "mean": "avg(m) >= avg(cut)"}.items():
+
+    @query(f"foreground_{_mode}", f"""m AS (SELECT sample_id, channel, y // {BLOCK} AS "by", x // {BLOCK} AS bx, avg(v) AS m, CASE WHEN channel = 0 THEN 50.0::DOUBLE ELSE 400.0::DOUBLE END AS cut FROM two GROUP BY 1, 2, 3, 4)
+SELECT sample_id, CAST("by" AS INTEGER) AS "by", CAST(bx AS INTEGER) AS bx FROM m GROUP BY 1, 2, 3 HAVING {_rule}""", PX, CHANNELS_SQL)
+    def _(spark, sf, mode=_mode):
+        cuts = spark.createDataFrame([(0, 50.0), (1, 400.0)], "channel int, cut double")
+        return cohort.foreground(patches.blocks(_two_channels(spark, sf), BLOCK), cuts, mode)
+
+
+@query("extract_patches")
+def _(spark, sf):
+    return rounded(cohort.extract(at.pixels(spark, sf), BLOCK, by_tile=5))
+
+
+@query("topology_sensitivity")
+def _(spark, sf):
+    cells = at.cells(spark, sf)
+    near = spatial.range_join(cells.withColumnRenamed("cell_id", "id"), at.patches(spark, sf).withColumnRenamed("patch_id", "id"), AROUND_CELL).select("sample_id", "src", "dst")
+    return rounded(cohort.topology_sensitivity(cells, labels(spark, sf), {"bought": at.cross_edges(spark, sf), "near": near}, CLUSTERS))
+
+
+@query("component_topology")
+def _(spark, sf):
+    p = at.points(spark, sf)
+    edges = spatial.radius_edges(p, RADIUS)
+    return rounded(cohort.component_topology(graph.components(p, edges), edges))
+
+
+@query("label_scores", """tab AS (SELECT ecm_cluster AS t, patch_id * 7 % 5 AS p, count(*) AS n FROM patches WHERE ecm_cluster >= 0 GROUP BY 1, 2),
+f AS (SELECT a.t, 2.0 * coalesce((SELECT n FROM tab h WHERE h.t = a.t AND h.p = a.t), 0) / (a.n + coalesce(b.n, 0)) AS f FROM (SELECT t, sum(n) AS n FROM tab GROUP BY 1) a LEFT JOIN (SELECT p, sum(n) AS n FROM tab GROUP BY 1) b ON a.t = b.p)
+SELECT round((SELECT sum(CASE WHEN t = p THEN n ELSE 0 END) / sum(n)::DOUBLE FROM tab), 6) AS accuracy, round(avg(f), 6) AS macro_f1 FROM f""", P)
+def _(spark, sf):
+    own = at.patches(spark, sf).where("ecm_cluster >= 0")
+    return rounded(cohort.label_scores(own.select(F.col("ecm_cluster").cast("long").alias("truth"), (F.col("patch_id") * 7 % 5).alias("predicted"))))
+
+
+@query("pooled_centres", "SELECT ecm_cluster, count(*) AS n, round(avg(f0), 6) AS f0, round(avg(f1), 6) AS f1, round(count(*) / sum(count(*)) OVER ()::DOUBLE, 6) AS share FROM patches WHERE ecm_cluster >= 0 GROUP BY 1", P)
+def _(spark, sf):
+    return rounded(cohort.pooled_centres(at.patches(spark, sf), ["f0", "f1"]))
