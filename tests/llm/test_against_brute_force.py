@@ -74,9 +74,10 @@ def test_near_links_join_what_all_pairs_join():
         for b in rng.integers(0, 512, rng.integers(0, 60)):
             row[b // 64] ^= np.uint64(1) << np.uint64(b % 64)
     want = components(len(prints), lambda i, j: int(np.bitwise_count(prints[i] ^ prints[j]).sum()) <= 40)
-    links = near_copies.linked(np.arange(len(prints)), prints, 40)
-    assert len(links) == len(prints) - len(set(want))
-    linked = {frozenset(x) for x in links}
+    for sure in (0, 12, 40):
+        links = near_copies.linked(np.arange(len(prints)), prints, sure, 40)
+        assert len(links) == len(prints) - len(set(want)) and all(n <= 40 for _, _, n in links)
+    linked = {frozenset(x[:2]) for x in links}
     assert components(len(prints), lambda i, j: frozenset((i, j)) in linked) == want
 
 
@@ -97,6 +98,23 @@ def test_near_copies_are_found(spark):
     assert got == group
 
 
+def test_similarity_is_exact(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(2000)]
+    rows = []
+    for g in range(40):
+        base = [rng.choice(words) for _ in range(60)]
+        rows.append((2 * g, " ".join(base)))
+        for _ in range(1 + g % 3):
+            base[rng.randrange(60)] = "edited"
+        rows.append((2 * g + 1, " ".join(base)))
+    shingle = lambda t: {tuple(t.split()[i : i + 5]) for i in range(56)}
+    near = {g for g in range(40) if len(shingle(rows[2 * g][1]) & shingle(rows[2 * g + 1][1])) >= 0.8 * len(shingle(rows[2 * g][1]) | shingle(rows[2 * g + 1][1]))}
+    got = {r.doc: r.group for r in near_copies.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert 0 < len(near) < 40
+    assert {g for g in range(40) if got[2 * g + 1] == 2 * g} == near
+
+
 def brute_tiles(item, text, least):
     marks_i, marks_t, covered = set(), set(), 0
     while True:
