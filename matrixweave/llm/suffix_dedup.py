@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matrixweave.llm.common import claim, mixed, pieces_of, small_batches, stash, tidy
+from matrixweave.llm.common import claim, mixed, pieces_of, small_batches, stash, tidy, unstash
 
 LENGTH, GRAIN, MOST = 400, 64, 8192
 SEGMENT = 1 << 20
@@ -244,6 +244,8 @@ def repeats(strings: DataFrame, length: int, grain: int, most: int) -> DataFrame
     per = runs.join(again, "key").groupBy("s1", "s2").agg(F.collect_list(F.struct("start", "n", "left", "key")).alias("runs"))
     cut = strings.join(per, ["s1", "s2"]).select("s1", "s2", "weight", "data", "runs")
     cut = stash(cut.mapInArrow(_cut(length), "s1 long, s2 long, start int, weight long, key long, left int, h1 long, h2 long, data binary"), "strings")
+    for done in (runs, again):
+        unstash(done)
     own = cut.groupBy("key", "h1", "h2").agg(F.sum("weight").alias("weight"), F.first("left").alias("left"), F.first("data").alias("data"))
     own = stash(own, "distinct")
     hot = stash(own.groupBy("key").count().where(F.col("count") > most).select("key"), "hot")
@@ -255,6 +257,8 @@ def repeats(strings: DataFrame, length: int, grain: int, most: int) -> DataFrame
         rest = own.join(hot, "key", "left_semi").select(F.col("h1").alias("s1"), F.col("h2").alias("s2"), "weight", "data")
         found = found.unionByName(repeats(rest, length, (grain + length + 1) // 2, most))
     found = stash(found, "found")
+    for done in (own, hot):
+        unstash(done)
     back = cut.select("s1", "s2", "start", "h1", "h2").join(found.select(F.col("s1").alias("h1"), F.col("s2").alias("h2"), "spans"), ["h1", "h2"])
     back = back.select("s1", "s2", F.expr("transform(spans, x -> struct(cast(x.a + start as int) as a, cast(x.b + start as int) as b))").alias("spans"))
     return back.groupBy("s1", "s2").agg(F.flatten(F.collect_list("spans")).alias("spans"))
