@@ -188,11 +188,14 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """The model of the labelled rows that are not held out; only a bounded sample reaches the driver."""
     own = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     own = own.where(F.col("lang").isNotNull() & F.col("doc").isNotNull() & ~held_out(F.col("doc")))
-    # Ranked in 256 parts of each language first, so that no task sees a whole language.
-    ids = own.select("doc", "lang", F.xxhash64("doc").alias("h")).withColumn("part", F.expr("pmod(h, 256)"))
-    for keys in (["lang", "part"], ["lang"]):
-        rank = F.row_number().over(Window.partitionBy(*keys).orderBy("h", "doc"))
-        ids = ids.withColumn("rank", rank).where(F.col("rank") <= SAMPLE_DOCS).drop("rank")
+    counts = {r.lang: r["count"] for r in own.groupBy("lang").count().collect()}  # a row a language, as the model has
+    # Hashes are even, so four times the rows wanted lie under this share of them; only these are ranked.
+    ids = own.select("doc", "lang", F.xxhash64("doc").alias("h"))
+    if counts:
+        share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, 4.0 * SAMPLE_DOCS / n)])
+        ids = ids.where(F.col("h").cast("double") / float(1 << 64) + 0.5 < F.element_at(share, F.col("lang")))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc"))
+    ids = ids.withColumn("rank", rank).where(F.col("rank") <= SAMPLE_DOCS)
     picked = [r.doc for r in ids.select("doc").collect()]
     rows = own.where(F.col("doc").isin(picked)).select("lang", F.xxhash64("doc").alias("h"), "doc", F.substring("text", 1, DOC_CHARS).alias("text")).collect() if picked else []
     texts: dict[str, list[str]] = {}
