@@ -111,11 +111,11 @@ class WordIds:
         self.cores = pa.array([""], pa.string())
         self.tail: dict[str, int] = {"": 0}
         self.tail_rows = np.zeros(self.TAILS, np.int64)
-        self.starts, self.lengths, self.flat = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int32)
+        self.starts, self.lengths, self.flat = np.zeros(1, np.int32), np.zeros(1, np.int32), np.zeros(0, np.int32)
 
     def _add(self, flat: np.ndarray, lengths: np.ndarray) -> None:
-        self.starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(lengths) - lengths))
-        self.lengths = np.concatenate((self.lengths, lengths))
+        self.starts = np.concatenate((self.starts, (len(self.flat) + np.cumsum(lengths) - lengths).astype(np.int32)))
+        self.lengths = np.concatenate((self.lengths, lengths.astype(np.int32)))
         self.flat = np.concatenate((self.flat, flat.astype(np.int32)))
 
     def _alone(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -187,10 +187,12 @@ class WordIds:
             self.packed = np.concatenate((self.packed, self._learn(words)))
             self.known = pa.concat_arrays([self.known, words])
         packed = self.packed[at]
-        rows = np.stack((packed // self.TAILS, self.tail_rows[packed % self.TAILS]), axis=1)[codes].reshape(-1)
+        rows = np.stack((packed // self.TAILS, self.tail_rows[packed % self.TAILS]), axis=1).astype(np.int32)[codes].reshape(-1)
         lengths = self.lengths[rows]
-        ends = np.concatenate(([0], np.cumsum(lengths)))
-        spot = np.repeat(self.starts[rows] - ends[:-1], lengths) + np.arange(ends[-1])
+        ends = np.zeros(len(rows) + 1, np.int32)
+        np.cumsum(lengths, out=ends[1:])
+        spot = np.repeat(self.starts[rows] - ends[:-1], lengths)
+        spot += np.arange(ends[-1], dtype=np.int32)
         return self.flat[spot], ends[::2]
 
 
@@ -213,7 +215,7 @@ def encode_texts(text: pa.Array, words: WordIds, end_id: int) -> tuple[np.ndarra
     coded = lists.values.slice(int(offsets[0]), int(offsets[-1] - offsets[0])).dictionary_encode()
     offsets -= offsets[0]
     ids, ends = words(coded.dictionary, np.asarray(coded.indices))
-    bounds = ends[offsets]
+    bounds = ends[offsets].astype(np.int64)
     return np.insert(ids, bounds[1:], end_id).astype(np.int32), bounds + np.arange(len(bounds))
 
 
