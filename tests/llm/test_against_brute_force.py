@@ -115,6 +115,26 @@ def test_similarity_is_exact(spark):
     assert {g for g in range(40) if got[2 * g + 1] == 2 * g} == near
 
 
+@pytest.mark.parametrize("edit", ["appended", "cut", "inserted"])
+def test_near_copies_with_a_passage_are_found(spark, edit):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(3000)]
+    rows = []
+    for g in range(150):
+        base = [rng.choice(words) for _ in range(rng.randint(60, 400))]
+        n = int(len(base) * rng.uniform(0.08, 0.28))
+        more, at = [rng.choice(words) for _ in range(n)], rng.randrange(len(base))
+        rows += [base, {"appended": base + more, "cut": base[:-n], "inserted": base[:at] + more + base[at:]}[edit]]
+    shingle = lambda t: {tuple(t[i : i + 5]) for i in range(len(t) - 4)}
+    share = [len(shingle(a) & shingle(b)) / len(shingle(a) | shingle(b)) for a, b in zip(rows[::2], rows[1::2])]
+    df = spark.createDataFrame([(i, " ".join(r)) for i, r in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc: r.group for r in near_copies.near_groups(df).collect()}
+    near = {g for g, s in enumerate(share) if s >= 0.8}
+    found = {g for g in range(150) if got[2 * g + 1] == 2 * g}
+    print(edit, "found", len(found & near), "of", len(near))
+    assert 30 < len(near) < 150 and found == near
+
+
 def brute_tiles(item, text, least):
     marks_i, marks_t, covered = set(), set(), 0
     while True:
