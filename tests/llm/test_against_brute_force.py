@@ -135,6 +135,25 @@ def test_near_copies_with_a_passage_are_found(spark, edit):
     assert 30 < len(near) < 150 and found == near
 
 
+def test_large_groups_of_near_copies_are_exact(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(3000)]
+    texts, want = [], []
+    for length, least, most in [(200, 3, 3), (400, 5, 7), (200, 2, 4)]:
+        base, first = [rng.choice(words) for _ in range(length)], len(texts)
+        for _ in range(300):
+            own = list(base)
+            for at in rng.sample(range(length), rng.randint(least, most)):
+                own[at] = f"edited{rng.randrange(10**6)}"
+            texts.append(own)
+        sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts[first:]]
+        want += [first + c for c in components(300, lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc: r.group for r in near_copies.near_groups(df).collect()}
+    print("groups", [len({got[i] for i in range(s, s + 300)}) for s in (0, 300, 600)], "exact", [len(set(want[s : s + 300])) for s in (0, 300, 600)])
+    assert [got[i] for i in range(900)] == want
+
+
 def brute_tiles(item, text, least):
     marks_i, marks_t, covered = set(), set(), 0
     while True:
