@@ -21,6 +21,8 @@ RADIUS, NEAREST, CLUSTERS, BLOCK = 3.0, 5, 5, 10
 AROUND_CELL, SIDE = 20.0, 5
 #: Permutations of the tests, and their seed.
 PERMUTATIONS, SEED = 19, 7
+#: The reference's own number, where no SQL repeats the permutations.
+FULL_PERMUTATIONS = 5000
 
 
 def query(name: str, sql: str | None = None, *tables: str) -> Callable[[Query], Query]:
@@ -393,7 +395,7 @@ def _(spark, sf):
 def _(spark, sf):
     # Two groups of the patches' samples.
     groups = labels(spark, sf).select("sample_id").distinct().withColumn("grp", F.when(F.col("sample_id") < 4, "a").otherwise("b"))
-    return rounded(stats.cooccurrence_test(labels(spark, sf), lattice(spark, sf), groups, "a", "b", CLUSTERS, PERMUTATIONS, SEED))
+    return rounded(stats.cooccurrence_test(labels(spark, sf), lattice(spark, sf), groups, "a", "b", CLUSTERS, FULL_PERMUTATIONS, SEED))
 
 
 @query("bh_adjust", """tested AS (SELECT c_custkey AS id, (c_custkey * 7919 % 1000 + 1) / 1000.0::DOUBLE AS p FROM customer),
@@ -842,18 +844,18 @@ def _graphs(spark, sf):
 
 @query("node_classifier")
 def _(spark, sf):
-    return rounded(nn.predictions(nn.classify(*_graphs(spark, sf), epochs=30)))
+    return rounded(nn.predictions(nn.classify(*_graphs(spark, sf))))
 
 
 @query("cluster_importance")
 def _(spark, sf):
-    return rounded(nn.importance(*_graphs(spark, sf), steps=5, epochs=30).groupBy("class", "feature").agg(F.avg("attribution").alias("mean"), F.avg(F.abs("attribution")).alias("size")))
+    return rounded(nn.importance(*_graphs(spark, sf)).groupBy("class", "feature").agg(F.avg("attribution").alias("mean"), F.avg(F.abs("attribution")).alias("size")))
 
 
 @query("masked_embeddings")
 def _(spark, sf):
     nodes, edges, _folds = _graphs(spark, sf)
-    z = nn.encode_masked(nodes.select(F.col("graph").alias("sample_id"), "node", "x"), edges.withColumnRenamed("graph", "sample_id"), 8, epochs=20)
+    z = nn.encode_masked(nodes.select(F.col("graph").alias("sample_id"), "node", "x"), edges.withColumnRenamed("graph", "sample_id"), 8)
     return z.select("sample_id", "node", F.size("z").alias("width"))
 
 

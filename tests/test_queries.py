@@ -45,3 +45,26 @@ def test_entry_module(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert set(QUERIES) <= set(entry.queries())
+
+
+def test_models_and_permutations_run_whole(spark, monkeypatch):
+    import inspect
+
+    from matrixweave.operators import nn
+
+    seen = {}
+    for name in ("classify", "importance", "encode_masked"):
+        real = getattr(nn, name)
+
+        def spy(*args, _name=name, _real=real, **more):
+            own = inspect.signature(_real).bind(*args, **more)
+            own.apply_defaults()
+            seen[_name] = {k: own.arguments[k] for k in ("epochs", "steps") if k in own.arguments}
+            return _real(*args, **more)
+
+        monkeypatch.setattr(nn, name, spy)
+    for name in ("node_classifier", "cluster_importance", "masked_embeddings"):
+        QUERIES[name](spark, SF)
+    assert seen == {"classify": {"epochs": 120}, "importance": {"epochs": 120, "steps": 50}, "encode_masked": {"epochs": 150}}
+    p = [r.p * 5001 for r in QUERIES["cooccurrence_test"](spark, SF).collect()]
+    assert p and all(abs(x - round(x)) < 0.01 for x in p)
