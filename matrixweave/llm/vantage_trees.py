@@ -109,10 +109,11 @@ class Tree:
         def leaf(a: int, b: int, own: np.ndarray) -> None:
             self.seen += len(own) * (b - a)
             fast = queries[own] @ self.vectors[a:b].T
+            fast[self.ids[a:b] == ids[own][:, None]] = -np.inf  # rows of the query's own vec_id, which may repeat
             least = score[own, -1]
             if b - a > k:
-                # A row under the k+1 best of this leaf (one may be the query's own) can't count.
-                least = np.maximum(least, -np.partition(-fast, k, axis=1)[:, k])
+                # A row under the k best others of this leaf can't count.
+                least = np.maximum(least, -np.partition(-fast, k - 1, axis=1)[:, k - 1])
             with np.errstate(invalid="ignore"):
                 q, c = np.nonzero(fast >= (least - SLACK * size[own])[:, None])
             other = self.ids[a + c] != ids[own[q]]

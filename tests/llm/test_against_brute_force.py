@@ -363,3 +363,15 @@ def test_neighbours(factor):
     assert np.mean(recall) >= 0.9
     if factor < 1:
         assert own.seen < 150 * 3000
+
+
+def test_neighbours_of_a_repeated_id():
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(60, 8))
+    ids = np.arange(60)
+    ids[:6] = 0
+    x[:6] = x[0] * (1 + np.arange(6)[:, None] / 100)
+    own = vantage_trees.Tree(ids, x)
+    _, found, _ = own.search(ids[:1], x[:1], 5, 1.0)
+    exact = np.cumsum(x * x[0], axis=1)[:, -1]
+    assert found.tolist() == [i for i in np.lexsort((ids, -exact)) if ids[i] != 0][:5]
