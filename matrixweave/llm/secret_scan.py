@@ -1,7 +1,7 @@
 """Secret scans: patterns, and the novelty of candidates to a primed zstandard compressor.
 
 The base kinds are patterns.  For novelty, a candidate is a run of 12 or more token
-characters that holds a digit, within ``NEAR`` characters after a sensitive word.  What
+characters that starts within ``NEAR`` characters after a sensitive word.  What
 it adds to the compressed size of the code around it, with a dictionary of common
 identifiers, is its marginal size; a string that costs at least ``LEAST_RATE`` bytes a
 character, more than words, names and repeats of the text around it do, is reported.
@@ -33,7 +33,8 @@ LEAST_ASSIGN, LEAST_ACCESS = 6, 20
 
 #: Words that make what follows sensitive.
 SENSITIVE = re.compile(r"passw|passphrase|secret|token|api.?key|access.?key|private.?key|credential|bearer|auth|signature|client.?id|akia", re.IGNORECASE | re.ASCII)
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{12,}", re.ASCII)
+LEAST_RUN = 12
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST_RUN},}}", re.ASCII)
 RUN = re.compile(r"[A-Za-z0-9+/_=-]+", re.ASCII)
 NEAR, AROUND, LEAST_RATE, LEVEL = 48, 256, 0.55, 3
 
@@ -84,14 +85,14 @@ def scan(text: str) -> tuple[list[tuple[int, int, int, float]], int]:
     """((start, kind, end, novelty) of all spans in order, how many are base spans)."""
     base = base_spans(text)
     out = [(s, k, e, novelty(text, s, e)) for s, k, e in base]
-    # Candidates lie within NEAR of a sensitive word; stretches of such places are scanned once.
+    # Candidates start within NEAR of a sensitive word; stretches of such places are scanned once.
     at = 0
     for word in SENSITIVE.finditer(text):
-        for m in CANDIDATE.finditer(text, max(at, word.start()), min(len(text), word.end() + NEAR)):
+        for m in CANDIDATE.finditer(text, max(at, word.start()), min(len(text), word.end() + NEAR + LEAST_RUN)):
             s = m.start()
             e = RUN.match(text, s).end()  # a run may go on beyond the stretch
             at = max(at, e)
-            if any(s < b and a < e for a, _, b in base) or not any(c.isdigit() for c in text[s:e]):
+            if any(s < b and a < e for a, _, b in base):
                 continue
             rate = novelty(text, s, e)
             if rate >= LEAST_RATE:

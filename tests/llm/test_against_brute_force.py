@@ -343,6 +343,14 @@ def test_novelty_tells_keys_from_words():
     assert rate("Zk3x9QpL2vB7wRtY5mN8") > secret_scan.LEAST_RATE > rate("application/json")
 
 
+def test_novel_spans_of_letters_and_at_the_end_of_near():
+    spans = lambda t: [(s, k, e) for s, k, e, _ in secret_scan.scan(t)[0]]
+    assert spans("Authorization: Bearer QwErTyUiOpAsDfGhJkLzXcVb") == [(22, 3, 46)]
+    for gap in (20, 37, 48, 49):
+        want = [(6 + gap, 3, 26 + gap)] if gap <= secret_scan.NEAR else []
+        assert spans("secret" + " " * gap + "Zk3x9QpL2vB7wRtY5mN8") == want
+
+
 @pytest.mark.parametrize("factor", [1.0, 0.7])
 def test_neighbours(factor):
     rng = np.random.default_rng(6)
