@@ -191,7 +191,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, thre
     """(doc_id, item_id, words, covered, coverage, tiles) of each document and item that contaminates it."""
     small_batches(docs.sparkSession)
     if benchmark_bytes(benchmark, item_text_col) > most_bytes:
-        return _joined(docs, benchmark, least, threshold, id_col, text_col, item_col, item_text_col)
+        # Repeated rows and items have one result each.
+        got = _joined(docs, benchmark, least, threshold, id_col, text_col, item_col, item_text_col)
+        for df, i, t, key, row in ((docs, id_col, text_col, "doc_id", "row"), (benchmark, item_col, item_text_col, "item_id", "item_row")):
+            own = _keyed(df, i, t).select(F.col("id").alias("_i"), F.col("row").alias("_r"))
+            got = got.join(own, F.col(key).eqNullSafe(F.col("_i")) & (F.col(row) == F.col("_r"))).drop("_i", "_r")
+        return got.drop("row", "item_row")
     seeds = docs.sparkSession.sparkContext.broadcast(collect_seeds(benchmark, least, item_col, item_text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,14 +213,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, thre
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, threshold: float = THRESHOLD, most_bytes: int = MOST_BYTES, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that an item contaminates; null texts stay.
-
-    Beyond ``most_bytes`` of benchmark, rows that share their doc_id with a contaminated row go too.
-    """
+    """``docs`` without the rows that an item contaminates; null texts stay."""
     small_batches(docs.sparkSession)
     if benchmark_bytes(benchmark, item_text_col) > most_bytes:
-        gone = _joined(docs, benchmark, least, threshold, id_col, text_col, item_col, item_text_col).select(F.col("doc_id").alias("_gone")).distinct()
-        return released(carried(docs, id_col, text_col).join(gone, F.col("_id") == F.col("_gone"), "left_anti"), docs)
+        gone = _joined(docs, benchmark, least, threshold, id_col, text_col, item_col, item_text_col).select(F.col("doc_id").alias("_gone"), F.col("row").alias("_row1")).distinct()
+        same = F.col("_id").cast("long").eqNullSafe(F.col("_gone")) & F.col("_text").isNotNull() & (F.xxhash64("_text") == F.col("_row1"))
+        return released(carried(docs, id_col, text_col).join(gone, same, "left_anti"), docs)
     seeds = docs.sparkSession.sparkContext.broadcast(collect_seeds(benchmark, least, item_col, item_text_col))
 
     @F.arrow_udf("boolean")
@@ -248,8 +251,13 @@ def _result(rows: list[tuple]) -> pa.RecordBatch:
     )
 
 
+def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, row, text): rows are told apart by their id, which may be null, and their text; null texts have none."""
+    return df.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
+
+
 def _joined(docs, benchmark, least, threshold, id_col, text_col, item_col, item_text_col):
-    """For a benchmark of any size: fingerprints of both sides meet in a join, hits of a pair in one group."""
+    """Like ``contaminated`` for a benchmark of any size, plus row and item_row, once for equal rows and items: fingerprints of both sides meet in a join, hits of a pair in one group."""
 
     def prints(least_only: int | None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,9 +279,8 @@ def _joined(docs, benchmark, least, threshold, id_col, text_col, item_col, item_
         return run
 
     schema = "id long, row long, n int, print long, words int, at int"
-    keyed = lambda df, i, t: df.where(F.col(t).isNotNull()).select(F.col(i).cast("long").alias("id"), F.xxhash64(t).alias("row"), F.col(t).alias("text"))
-    seeds = keyed(benchmark, item_col, item_text_col).mapInArrow(prints(least), schema).select("n", "print", F.col("id").alias("item_id"), F.col("row").alias("item_row"), F.col("words").alias("item_words"), F.col("at").alias("item_at"))
-    spots = keyed(docs, id_col, text_col).mapInArrow(prints(None), schema).select("n", "print", F.col("id").alias("doc_id"), "row", F.col("at").alias("text_at"))
+    seeds = _keyed(benchmark, item_col, item_text_col).mapInArrow(prints(least), schema).select("n", "print", F.col("id").alias("item_id"), F.col("row").alias("item_row"), F.col("words").alias("item_words"), F.col("at").alias("item_at"))
+    spots = _keyed(docs, id_col, text_col).mapInArrow(prints(None), schema).select("n", "print", F.col("id").alias("doc_id"), "row", F.col("at").alias("text_at"))
     pairs = (
         spots.join(seeds, ["n", "print"])
         .groupBy("doc_id", "row", "item_id", "item_row")
@@ -283,17 +290,19 @@ def _joined(docs, benchmark, least, threshold, id_col, text_col, item_col, item_
 
     def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            rows, keys = [], []
             for r in batch.to_pylist():
                 a, b = (np.array([h[k] for h in r["hits"]]) for k in ("item_at", "text_at"))
                 tiles = greedy_tiles(a, b, r["n"])
                 covered = sum(x for _, _, x in tiles)
                 if covered >= threshold * r["words"]:
                     rows.append((r["doc_id"], r["item_id"], r["words"], covered, tiles))
+                    keys.append((r["row"], r["item_row"]))
             if rows:
-                yield _result(rows)
+                out = _result(rows)
+                yield pa.record_batch([*out.columns, *(pa.array(k, pa.int64()) for k in zip(*keys))], [*out.schema.names, "row", "item_row"])
 
-    return pairs.select("doc_id", "item_id", "n", "words", "hits").mapInArrow(tile, OUT)
+    return pairs.select("doc_id", "row", "item_id", "item_row", "n", "words", "hits").mapInArrow(tile, OUT + ", row long, item_row long")
 
 
 def op1_benchmark_tiling(spark, sf_dir):

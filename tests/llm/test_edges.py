@@ -101,6 +101,18 @@ def test_near_copies(docs, empty):
     assert near_copies.keep_one(empty).count() == 0
 
 
+def test_tiling_judges_each_row_at_any_size(spark):
+    item = "one two three four five six seven eight"
+    rows = [(None, item), (None, "nothing of it"), (1, item), (1, "a clean row of one document"), (2, item), (2, item), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(5, item), (5, item), (None, item)], "item_id long, text string")
+    for most in (1 << 20, 0):
+        clean = string_tiling.decontaminate(docs, bench, most_bytes=most).collect()
+        assert sorted(map(tuple, clean), key=str) == [(1, rows[3][1]), (3, None), (None, rows[1][1])]
+        found = string_tiling.contaminated(docs, bench, most_bytes=most).collect()
+        assert sorted(((r.doc_id, r.item_id) for r in found), key=str) == sorted(((d, i) for d in (None, 1, 2, 2) for i in (5, 5, None)), key=str)
+
+
 def test_tiling(docs, empty, benchmark):
     want = {(6, 1), (7, 1)}
     for most in (1 << 20, 0):
