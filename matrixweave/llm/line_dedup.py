@@ -1,9 +1,9 @@
 """Line dedup [native]: the first document that holds a line keeps it.
 
 Line hashes are range-partitioned by (hash, document, position) and sorted so, which
-spreads a line that a third of all documents hold over many ranges.  Each range's
-first and last document of a hash are streamed from the sorted rows before anything
-is shuffled again.  What is returned per document is a sparse bitmap (64 lines a
+spreads a line that a third of all documents hold over many ranges, and written so.
+The first and last document of a hash come from an aggregate over the written rows,
+pre-aggregated before its shuffle; it does not depend on their order.  What is returned per document is a sparse bitmap (64 lines a
 word, words with no dropped line left out), not text.
 """
 
