@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 
-from matrixweave.llm import language_id, near_copies, secret_scan, sentence_pieces, simhash, string_tiling, suffix_dedup, token_files, vantage_trees
+from matrixweave.llm import language_id, near_copies, secret_scan, sentence_pieces, simhash, span_dedup, string_tiling, suffix_dedup, token_files, vantage_trees
 from matrixweave.llm.common import new_path
 
 SF = "/root/testdata/sf0.01"
@@ -383,3 +383,30 @@ def test_neighbours_of_a_repeated_id():
     _, found, _ = own.search(ids[:1], x[:1], 5, 1.0)
     exact = np.cumsum(x * x[0], axis=1)[:, -1]
     assert found.tolist() == [i for i in np.lexsort((ids, -exact)) if ids[i] != 0][:5]
+
+
+def brute_spans(rows, k, least):
+    """(doc_id, sentences that stay): from each sentence the shortest run of k or more with ``least`` characters; non-first repeats go."""
+    pieces = {i: re.findall(r"[^.!?\n]*[.!?\n][.!?\x20\x09-\x0D]*|[^.!?\n]+", t) for i, t in rows}
+    keys = {i: [re.sub("[A-Z]", lambda m: m[0].lower(), p.strip(" \t\n\x0b\x0c\r")) for p in ps] for i, ps in pieces.items()}
+    seen, gone = set(), {i: set() for i in pieces}
+    for i in sorted(keys):
+        for a in range(len(keys[i])):
+            run = next((keys[i][a:b] for b in range(a + k, len(keys[i]) + 1) if sum(map(len, keys[i][a:b])) >= least), None)
+            if run is None:
+                continue
+            if tuple(run) in seen:
+                gone[i].update(range(a, a + len(run)))
+            seen.add(tuple(run))
+    return {i: "".join(p for j, p in enumerate(pieces[i]) if j not in gone[i]) for i in pieces}
+
+
+def test_runs_of_short_sentences(spark):
+    rng = random.Random(11)
+    sentences = ["".join(rng.choice("abcdeF ") for _ in range(rng.randrange(0, 30))) + rng.choice([". ", "! ", "?\n", ".\n\n", "... "]) for _ in range(40)]
+    passage = "".join(f"s{i}. " for i in range(70))  # a run of 3 to 20 sentences each, over more than one word of 64
+    rows = [(i, "".join(rng.choice(sentences) for _ in range(rng.randrange(60)))) for i in range(60)]
+    rows += [(60, "Before it. " + passage + "After that."), (61, "Other words. " + passage + "Another end"), (62, " \n . " + passage), (63, ""), (64, passage + passage)]
+    for k, least in ((2, 50), (2, 12), (3, 100)):
+        got = {r.doc_id: r._kept for r in span_dedup.dedup_spans(spark.createDataFrame(rows, "doc_id long, text string"), k, least).collect()}
+        assert got == brute_spans(rows, k, least)
