@@ -35,16 +35,18 @@ def sentence_runs(docs: DataFrame, k: int, min_chars: int, id_col: str, text_col
     keys = (
         docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
         .select(F.col(id_col).alias("doc"), row_key(F.col(text_col)).alias("row"), F.transform(split_sentences(F.col(text_col)), line_key).alias("keys"))
-        .where(F.size("keys") >= k)
         .select("doc", "row", F.expr("transform(keys, x -> struct(xxhash64(x) as a, xxhash64(1, x) as b, char_length(x) as n))").alias("s"))
     )
+    # Elements are taken one by one: a slice of an array costs its whole length.
     size = " + ".join(f"s[i + {j}].n" for j in range(k))
     # All keys but the first have a character, so that no run needs more sentences than this.
     widest = max(k, min_chars + 1)
     full = f"t.c >= {min_chars} and t.n >= {k}"
-    grown = f"aggregate(slice(s, i + 1, {widest}), struct(0 as c, 0 as n), (t, x) -> if({full}, t, struct(t.c + x.n as c, t.n + 1 as n)), t -> if({full}, t.n, null))"
-    sized = keys.select("doc", "row", "s", F.expr(f"transform(sequence(0, size(s) - {k}), i -> if({size} >= {min_chars}, {k}, {grown}))").alias("sizes"))
-    hashed = "transform(sizes, (n, i) -> if(n is null, null, struct(n, xxhash64(slice(s, i + 1, n).a) as h1, xxhash64(slice(s, i + 1, n).b) as h2)))"
+    grown = f"aggregate(sequence(i, least(i + {widest}, size(s)) - 1), struct(0 as c, 0 as n), (t, j) -> if({full}, t, struct(t.c + s[j].n as c, t.n + 1 as n)), t -> if({full}, t.n, null))"
+    sized = keys.select("doc", "row", "s", F.expr(f"if(size(s) < {k}, array(), transform(sequence(0, size(s) - {k}), i -> if({size} >= {min_chars}, {k}, {grown})))").alias("sizes"))
+    # Equal runs have equal sizes, and so one of the two forms.
+    part = lambda f: f"if(n = {k}, xxhash64({', '.join(f's[i + {j}].{f}' for j in range(k))}), xxhash64(transform(sequence(i, i + n - 1), j -> s[j].{f})))"
+    hashed = f"transform(sizes, (n, i) -> if(n is null, null, struct(n, {part('a')} as h1, {part('b')} as h2)))"
     runs = sized.select("doc", "row", F.posexplode(F.expr(hashed)).alias("pos", "h"))
     return runs.where("h is not null").select("doc", "row", "pos", "h.n", "h.h1", "h.h2")
 
