@@ -1,24 +1,30 @@
 """Line dedup [native]: the first document that holds a line keeps it.
 
-Line hashes are range-partitioned by (hash, document, position) and sorted so, which
-spreads a line that a third of all documents hold over many ranges, and written so.
-The first and last document of a hash come from an aggregate over the written rows,
-pre-aggregated before its shuffle; it does not depend on their order.  What is returned per document is a sparse bitmap (64 lines a
-word, words with no dropped line left out), not text.
+Lines are dealt by ranges of their hash and sorted by (hash, document, position) within
+a range, once; a running window streams through each range and hands the first document
+of a hash on to its other lines.  A hash so frequent that it would fill a range is dealt
+again by document and position over as many ranges; each of them streams its own first
+occurrence, and the smallest of these, a row a range, is handed on to all.  Frequent hashes are found in
+a sample of the lines, which decides where lines are dealt, never what is kept.
+
+What is returned per document is a sparse bitmap (64 lines a word, words with no
+dropped line left out), not text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matrixweave.llm.common import carried, released, stash
+from matrixweave.llm.common import carried, released, stash, unstash
 
 #: The characters that are stripped from both ends of a line: fixed values.
 BLANK = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MIN_CHARS = 10
 WORD = 64
+#: Sampled lines a range, and how many of them a hash needs to be dealt by document and position.
+SAMPLE, FREQUENT = 100, 10
 
 
 def split_lines(text: Column) -> Column:
@@ -37,6 +43,24 @@ def row_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
+def later_occurrences(lines: DataFrame) -> DataFrame:
+    """The rows of ``lines(doc, row, pos, h1, h2)``, a written table, whose hash a smaller document holds too."""
+    parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    some = lines.sample(min(1.0, SAMPLE * parts / max(1, lines.count())), seed=1)
+    # At most SAMPLE / FREQUENT hashes a range.
+    often = some.groupBy("h1", "h2").count().where(F.col("count") >= FREQUENT).select("h1", "h2", F.lit(True).alias("often"))
+    often = stash(often, "frequent-lines")
+    spread = f"cast(least(floor((h1 / 1.8446744073709552e19D + 0.5D) * {parts}), {parts - 1}) as int)"
+    dealt = lines.join(F.broadcast(often), ["h1", "h2"], "left").withColumn("often", F.coalesce("often", F.lit(False)))
+    dealt = dealt.withColumn("range", F.expr(f"if(often, {parts} + cast(pmod(xxhash64(doc, row, pos), {parts}) as int), {spread})"))
+    run = dealt.repartitionByRange(parts, "range").sortWithinPartitions("range", "h1", "h2", "doc", "pos")
+    stream = Window.partitionBy("range", "h1", "h2").orderBy("doc", "pos").rowsBetween(Window.unboundedPreceding, 0)
+    later = stash(run.withColumn("first", F.first("doc").over(stream)).where("often or doc <> first"), "later-lines")
+    least = later.where("often").groupBy("h1", "h2").agg(F.min("first").alias("least"))
+    over = later.where("often").join(F.broadcast(least), ["h1", "h2"]).where("doc <> least")
+    return later.where("not often").select("doc", "row", "pos").unionByName(over.select("doc", "row", "pos"))
+
+
 def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc, row, bitmap) for each document that loses lines.
 
@@ -55,12 +79,8 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .select("doc", "row", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
     )
     lines = stash(lines, "lines")  # texts are split and hashed once, not for each branch and sample below
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    run = lines.repartitionByRange(parts, "h1", "h2", "doc", "pos").sortWithinPartitions("h1", "h2", "doc", "pos")
-    run = stash(run, "line-runs")
-    owner = run.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first <> last")
-    owner = stash(owner, "owners")  # apart from the join, so that Spark can split a line that very many documents hold
-    lost = run.join(owner, ["h1", "h2"]).where("doc <> first")
+    lost = later_occurrences(lines)
+    unstash(lines)
     words = lost.groupBy("doc", "row", F.expr(f"pos div {WORD}").cast("int").alias("word")).agg(
         F.bit_or(F.expr(f"shiftleft(1L, cast(pos % {WORD} as int))")).alias("drop")
     )

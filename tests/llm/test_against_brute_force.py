@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 
-from matrixweave.llm import language_id, near_copies, secret_scan, sentence_pieces, simhash, span_dedup, string_tiling, suffix_dedup, token_files, vantage_trees
+from matrixweave.llm import language_id, line_dedup, near_copies, secret_scan, sentence_pieces, simhash, span_dedup, string_tiling, suffix_dedup, token_files, vantage_trees
 from matrixweave.llm.common import new_path
 
 SF = "/root/testdata/sf0.01"
@@ -410,3 +410,20 @@ def test_runs_of_short_sentences(spark):
     for k, least in ((2, 50), (2, 12), (3, 100)):
         got = {r.doc_id: r._kept for r in span_dedup.dedup_spans(spark.createDataFrame(rows, "doc_id long, text string"), k, least).collect()}
         assert got == brute_spans(rows, k, least)
+
+
+@pytest.mark.parametrize("frequent", [1, 10, 1 << 30])
+def test_lines_that_many_documents_hold(spark, monkeypatch, frequent):
+    monkeypatch.setattr(line_dedup, "FREQUENT", frequent)
+    rng = random.Random(12)
+    rare = [f"a line that is held by a few, number {i}" for i in range(400)]
+    hot = "  The line that nearly all of them hold\t"
+    rows = [(i, "\n".join(hot.upper() if rng.random() < 0.3 else rng.choice([hot, rng.choice(rare), "short", ""]) for _ in range(rng.randrange(12)))) for i in range(1, 400)]
+    key = lambda x: re.sub("[A-Z]", lambda m: m[0].lower(), x.strip(" \t\n\x0b\x0c\r"))
+    first = {}
+    for i, t in rows:
+        for x in t.split("\n"):
+            first.setdefault(key(x), i)
+    want = {i: "\n".join(x for x in t.split("\n") if len(key(x)) < 10 or first[key(x)] == i) for i, t in rows}
+    df = spark.createDataFrame(rows[::-1], "doc_id long, text string")
+    assert {r.doc_id: r._kept for r in line_dedup.dedup_lines(df).collect()} == want
