@@ -10,11 +10,16 @@ letters that training has not seen often as one symbol.  They are parsed in bloc
 ``BLOCK`` symbols, a phrase ends with its block, and all blocks of a slice take each
 step at once through one table of all automata.  Whole texts are parsed.
 
-The model is fitted on a bounded sample: of each language the ``SAMPLE_DOCS`` documents
-of smallest hash of doc_id, at most ``DOC_CHARS`` characters of each and ``LANG_CHARS``
-in all (less if very many languages share ``ALL_CHARS``).  Rows without doc_id, text or
-lang, and held-out rows, are not learnt from.  Rows that repeat a sampled doc_id are all
-learnt from, up to the bound; equal counts go to the first language by name.
+The model is fitted on a bounded sample: of each language ``SAMPLE_DOCS`` rows at most,
+``DOC_CHARS`` characters of each and ``LANG_CHARS`` in all (less if very many languages
+share ``ALL_CHARS``).  They come from the ``SAMPLE_DOCS`` documents of smallest hash of
+doc_id: a row of each, then a second row of those whose doc_id has several texts, and so
+on.  Rows without doc_id or lang, without a letter in their text, and held-out rows are
+not learnt from and take no place of the sample.  Equal counts go to the first language
+by name.
+
+The table of all automata is dense while it has at most ``DENSE`` places, and else holds
+the transitions that there are, in order; both lead to the same phrases.
 """
 
 from __future__ import annotations
@@ -31,6 +36,7 @@ from pyspark.sql import functions as F
 from matrixweave.llm.common import carried, claim, released, small_batches, tidy
 
 SAMPLE_DOCS, DOC_CHARS, LANG_CHARS, ALL_CHARS = 256, 400, 32_000, 1_500_000
+DENSE = 1 << 25
 BLOCK = 1024
 SLICE_CHARS = 2 << 20
 #: Letters that get a symbol of their own.
@@ -106,9 +112,14 @@ def suffix_automaton(text: list[int]) -> list[dict[int, int]]:
 
 
 class Model:
-    """Automata of all languages in one table: row s, column c holds the row that c leads to, with NEW if a phrase begins at c."""
+    """Automata of all languages in one table: place s + c holds the row that symbol c leads to from row s, with NEW if a phrase begins at c.
 
-    def __init__(self, samples: dict[str, str]):
+    ``next`` is that table, or empty if it were larger than ``dense``.  Then ``keys``
+    holds, in order, the places whose transition is not the root's, and ``values`` what
+    they hold; all other places hold what the root's row does.
+    """
+
+    def __init__(self, samples: dict[str, str], dense: int = DENSE):
         self.langs = sorted(samples)
         lower = {k: v.lower() for k, v in samples.items()}
         letters = Counter(c for v in lower.values() for c in v if c.isalpha())
@@ -116,24 +127,36 @@ class Model:
         self.letters = "".join(own)
         table = symbol_table(self.letters)
         self.wide = FIRST + len(own)
-        parts, self.roots, self.bits, at = [], [], [], 0
+        places, targets, self.starts, self.roots, self.bits, at = [], [], [], [], [], 0
         for lang in self.langs:
             found, _ = symbols([lower[lang]], table)
             after = suffix_automaton(found.tolist())
-            rows = np.zeros((len(after), self.wide), np.int32)
-            rows[:] = at | NEW
-            root = rows[0]
+            root = np.full(self.wide, at | NEW, np.int32)
             for c, s in after[0].items():
                 root[c] = (at + s * self.wide) | NEW
-            rows[1:] = root
-            for s, kids in enumerate(after[1:], 1):
-                for c, t in kids.items():
-                    rows[s, c] = at + t * self.wide
-            parts.append(rows.reshape(-1))
+            pairs = [(at + s * self.wide + c, at + t * self.wide) for s, kids in enumerate(after[1:], 1) for c, t in sorted(kids.items())]
+            places.append(np.array([x for x, _ in pairs], np.int32))
+            targets.append(np.array([x for _, x in pairs], np.int32))
+            self.starts.append(root)
             self.roots.append(at)
             self.bits.append(float(np.log2(max(2, len(found)))))
-            at += rows.size
-        self.next = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+            at += len(after) * self.wide
+        none = np.zeros(0, np.int32)
+        self.keys, self.values = (np.concatenate([none, *x]) for x in (places, targets))
+        self.next = none
+        if at <= dense:
+            sizes = np.diff([*self.roots, at])
+            self.next = np.concatenate([none, *(np.tile(r, n // self.wide) for r, n in zip(self.starts, sizes))])
+            self.next[self.keys] = self.values
+            self.keys = self.values = none
+
+    def step(self, lang: int, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """What the places of ``symbol`` in the rows ``state`` of one language hold."""
+        if len(self.next):
+            return self.next[state + symbol]
+        place = state + symbol
+        at = np.minimum(np.searchsorted(self.keys, place), len(self.keys) - 1)
+        return np.where(self.keys[at] == place, self.values[at], self.starts[lang][symbol])
 
     def phrases(self, found: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Phrases that each text needs in each language: texts x languages."""
@@ -150,10 +173,10 @@ class Model:
             return out
         active = np.searchsorted(-sizes, -np.arange(int(sizes[0])), "left")
         for k, root in enumerate(self.roots):
-            state = np.full(len(starts), root, np.int64)
+            state = np.full(len(starts), root, np.int32)
             count = np.zeros(len(starts), np.int64)
             for t, n in enumerate(active.tolist()):
-                v = self.next[state[:n] + found[starts[:n] + t]]
+                v = self.step(k, state[:n], found[starts[:n] + t])
                 count[:n] += v >> 30
                 state[:n] = v & (NEW - 1)
             np.add.at(out[:, k], text[order], count)
@@ -187,22 +210,25 @@ class Model:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """The model of the labelled rows that are not held out; only a bounded sample reaches the driver."""
     own = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    own = own.where(F.col("lang").isNotNull() & F.col("doc").isNotNull() & ~held_out(F.col("doc")))
-    counts = {r.lang: r["count"] for r in own.groupBy("lang").count().collect()}  # a row a language, as the model has
-    # Hashes are even, so four times the rows wanted lie under this share of them; only these are ranked.
-    ids = own.select("doc", "lang", F.xxhash64("doc").alias("h"))
-    if counts:
-        share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, 4.0 * SAMPLE_DOCS / n)])
-        ids = ids.where(F.col("h").cast("double") / float(1 << 64) + 0.5 < F.element_at(share, F.col("lang")))
+    own = own.where(F.col("lang").isNotNull() & F.col("doc").isNotNull() & ~held_out(F.col("doc")) & F.col("text").rlike(r"\p{L}"))
+    counts = {r.lang: r.n for r in own.groupBy("lang").agg(F.approx_count_distinct("doc").alias("n")).collect()}  # a row a language, as the model has
+    if not counts:
+        return Model({})
+    # Hashes are even, so about four times the documents wanted lie under this share of them; only these are ranked.
+    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, 4.0 * SAMPLE_DOCS / max(1, n))])
+    ids = own.select("lang", "doc", F.xxhash64("doc").alias("h")).where(F.col("h").cast("double") / float(1 << 64) + 0.5 < F.element_at(share, F.col("lang"))).distinct()
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc"))
-    ids = ids.withColumn("rank", rank).where(F.col("rank") <= SAMPLE_DOCS)
-    picked = [r.doc for r in ids.select("doc").collect()]
-    rows = own.where(F.col("doc").isin(picked)).select("lang", F.xxhash64("doc").alias("h"), "doc", F.substring("text", 1, DOC_CHARS).alias("text")).collect() if picked else []
+    ids = ids.withColumn("rank", rank).where(F.col("rank") <= SAMPLE_DOCS).drop("rank")
+    # Of a doc_id with very many rows, each task hands on no more than the sample holds.
+    rows = own.join(F.broadcast(ids), ["lang", "doc"]).select("lang", "h", "doc", F.xxhash64("text").alias("t"), F.substring("text", 1, DOC_CHARS).alias("text")).distinct()
+    turn = F.row_number().over(Window.partitionBy("lang", "doc").orderBy("t", "text"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("turn", "h", "doc"))
+    rows = rows.withColumn("turn", turn).where(F.col("turn") <= SAMPLE_DOCS).withColumn("place", place).where(F.col("place") <= SAMPLE_DOCS)
     texts: dict[str, list[str]] = {}
-    for r in sorted(rows, key=lambda r: (r.lang, r.h, r.doc, r.text or "")):
-        texts.setdefault(r.lang, []).append(r.text or "")
+    for r in sorted(rows.collect(), key=lambda r: (r.lang, r.place)):
+        texts.setdefault(r.lang, []).append(r.text)
     most = min(LANG_CHARS, ALL_CHARS // max(1, len(texts)))
-    return Model({k: "\n".join(v)[:most] for k, v in texts.items() if any(map(str.strip, v))})
+    return Model({k: "\n".join(v)[:most] for k, v in texts.items()})
 
 
 RESULT = "struct<lang:string,score:double,rate:double>"

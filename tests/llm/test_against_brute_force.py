@@ -321,6 +321,38 @@ def test_phrases():
             assert got[i, k] == brute_phrases(samples[lang], t)
 
 
+def test_tables_agree():
+    rng = random.Random(13)
+    samples = {f"l{i:03}": "".join(rng.choice("abcdefghij klmnop"[i % 9 :]) for _ in range(rng.randrange(1, 400))) for i in range(30)}
+    texts = ["".join(rng.choice("abcdefghij klmnopq.") for _ in range(rng.randrange(1, 3000))) for _ in range(20)]
+    dense, sparse = language_id.Model(samples), language_id.Model(samples, 0)
+    assert len(dense.next) and not len(sparse.next)
+    own = language_id.symbols(texts, language_id.symbol_table(dense.letters))
+    assert (dense.phrases(*own) == sparse.phrases(*own)).all()
+
+
+def test_two_hundred_languages_stay_small():
+    rng = random.Random(14)
+    samples = {f"l{i:03}": "".join(chr(rng.randrange(0x4E00, 0x4E00 + 400)) if rng.random() < 0.8 else " " for _ in range(7500)) for i in range(200)}
+    model = language_id.Model(samples)
+    assert sum(x.nbytes for x in (model.next, model.keys, model.values, *model.starts)) < 200 << 20
+    assert [model.predict([samples[k][100:900]], language_id.symbol_table(model.letters))[0] for k in ("l000", "l117", "l199")] == [["l000"], ["l117"], ["l199"]]
+
+
+@pytest.mark.parametrize("doc", [1, 5, 9, 13, 21])
+def test_a_language_of_one_document_is_learnt(spark, doc):
+    rng = random.Random(15)
+    some = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(6)) for _ in range(n))
+    rows = [(1000 + i, some("abcdefg", 30), "a") for i in range(400)] + [(doc, some("nopqrst", 30), "b") for _ in range(3000)]
+    rows += [(100_000 + i, None, "c") for i in range(500)] + [(200_000 + i, "12 34", "c") for i in range(500)] + [(300_000, some("uvwxyz", 60), "c")]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    held = zlib.crc32(str(doc).encode()) % 4 == 2
+    assert model.langs == (["a", "c"] if held else ["a", "b", "c"])
+    table = language_id.symbol_table(model.letters)
+    assert model.predict([some("abcdefg", 20), some("uvwxyz", 20)], table)[0] == ["a", "c"]
+    assert held or model.predict([rows[400][1]], table)[0] == ["b"]
+
+
 def test_held_out_accuracy(texts):
     found = texts.withColumn("p", language_id.predictor(texts, language_id.fit(texts))("text")).where(language_id.held_out(texts.doc_id)).select("lang", "p.lang").collect()
     assert len(found) > 200
