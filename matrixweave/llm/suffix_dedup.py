@@ -115,14 +115,16 @@ def repeated_windows(strings: list[bytes], anchors: np.ndarray, buckets: np.ndar
     left = zero - anchors
     wide = int((left + sizes).max())
     with tempfile.TemporaryFile() as file:
-        # Columns of symbols: 0 where a string has none, else the byte plus one.
-        table = np.zeros((n, wide), np.uint16)
-        for i, s in enumerate(strings):
-            table[i, left[i] : left[i] + len(s)] = np.frombuffer(s, np.uint8)
-            table[i, left[i] : left[i] + len(s)] += 1
+        # Columns of symbols, one after another: 0 where a string has none, else the byte plus one.
+        flat = np.frombuffer(b"".join(strings), np.uint8)
+        base = np.cumsum(sizes) - sizes - left
         for c in range(wide):
-            file.write(table[:, c].tobytes())
-        del table
+            own = np.flatnonzero((left <= c) & (c < left + sizes))
+            column = np.zeros(n, np.uint16)
+            column[own] = flat[base[own] + c]
+            column[own] += 1
+            file.write(column.tobytes())
+        del flat
         order = np.arange(n)
         parts = np.full(n + 1, wide, np.int64)
         parts[np.flatnonzero(np.diff(buckets, prepend=-1))] = -1  # nothing is shared across buckets
@@ -304,5 +306,7 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, grain: int = GRAIN,
 
 
 def op6_suffix_dedup(spark, sf_dir):
+    """The contract's columns, and text: what stays, where a cut inside a character leaves a replacement character."""
     found = dedup_substrings(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    text = F.make_valid_utf8(F.col("kept").cast("string"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), text.alias("text"))

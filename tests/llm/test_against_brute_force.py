@@ -241,6 +241,15 @@ def test_repeated_strings(spark, grain, most):
     assert got == brute_repeats(rows, 24)
 
 
+def test_repeated_strings_across_segments(spark):
+    rng = random.Random(16)
+    some = lambda n: rng.randbytes(n).hex()[:n]
+    passage, other, mebi = some(3000), some(700), suffix_dedup.SEGMENT
+    rows = [(1, some(mebi - 1500) + passage + some(5000)), (2, some(90) + passage[200:2900] + some(mebi - 3000) + other + some(50)), (3, some(40) + other), (4, some(2000))]
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == brute_repeats(rows, 400) and [r[2] for r in got] == [2700, 3400, 700, 0]
+
+
 def test_repeated_strings_of_documents(texts):
     got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.dedup_substrings(texts).collect())
     assert got == brute_repeats([(r.doc_id, r.text) for r in texts.collect()], 400)
