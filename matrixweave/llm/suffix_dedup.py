@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from matrixweave.llm.common import claim, mixed, pieces_of, small_batches, stash, tidy, unstash
 
-LENGTH, GRAIN, MOST = 400, 64, 8192
+LENGTH, GRAIN, MOST = 400, 64, 1024
 SEGMENT = 1 << 20
 SLICE_BYTES, RUN_BYTES = 4 << 20, 1 << 20
 BATCH_STRINGS = 16384
