@@ -2,16 +2,21 @@
 
 Words are compared without case and punctuation.  Every run of ``least`` words of a
 benchmark item is a seed, with a Karp-Rabin fingerprint; the fingerprints of a
-document's runs are rolled over its words and looked up among the seeds.  Seeds that
-meet on one diagonal make a maximal match, and the longest match whose words are all
-unmarked is marked again and again, so that passages are found in any order and no
-word counts twice.  A document is contaminated by an item if the tiles cover at least
-``threshold`` of the item's words.
+document's runs are rolled over its words and looked up among the seeds, each once a
+text.  Where the seeds found could cover ``threshold`` of an item's words, document and
+item are tiled: places that agree on one diagonal make a maximal match, and the longest
+match whose words are all unmarked is marked again and again, so that passages are found
+in any order and no word counts twice.  A document is contaminated by an item if the
+tiles cover at least ``threshold`` of its words.
+
+Matches come from pairs of equal fingerprints; where words repeat so often that there
+are more than ``MOST_PAIRS``, from one row of run lengths an item's word instead, which
+needs memory for the text's seeds only.
 
 The seeds go to every task while the benchmark has at most ``most_bytes`` of text;
-beyond that, fingerprints of documents and seeds meet in a join.  Null and empty
-texts, of either side, match nothing; an item of fewer words than ``least`` must occur
-whole.  Repeated rows give repeated results.
+beyond that, fingerprints of documents and seeds meet in a join, which gives the same
+rows.  Null and empty texts, of either side, match nothing; an item of fewer words than
+``least`` must occur whole.  Repeated rows give repeated results.
 """
 
 from __future__ import annotations
@@ -26,11 +31,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matrixweave.llm.common import carried, claim, memory, pieces_of, released, small_batches, split_words, tidy
+from matrixweave.llm.common import carried, claim, memory, pieces_of, released, small_batches, split_words, stash, tidy
 
 LEAST, THRESHOLD = 4, 0.6
 MOST_BYTES = 32 << 20
 SLICE_BYTES = 8 << 20
+#: Equal fingerprints of an item and a text that are paired, and seeds that are listed at a time.
+MOST_PAIRS, MOST_SEEDS = 1 << 20, 1 << 22
 MOST_WORDS = 1 << 18
 #: The base of the fingerprints: a fixed odd number.
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -92,6 +99,7 @@ class Seeds:
     def __init__(self, items: list[tuple[int, str | None]], least: int = LEAST):
         words, offsets = Words()(pa.array([t for _, t in items], pa.string()))
         self.items = [i for i, _ in items]
+        self.words, self.offsets = words, offsets
         self.length = np.diff(offsets)
         self.need = np.minimum(least, self.length)
         self.by: dict[int, tuple[np.ndarray, ...]] = {}
@@ -105,74 +113,136 @@ class Seeds:
             table[prints >> (np.uint64(64) - TABLE_BITS)] = True
             self.by[n] = prints, item, at, table
 
-    def hits(self, words: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(text, item, position in the item, position in the text) of every seed in the texts."""
-        out = []
+    def candidates(self, words: np.ndarray, offsets: np.ndarray, threshold: float) -> Iterator[tuple[int, int]]:
+        """(text, number of the item) of pairs whose common seeds could cover ``threshold`` of the item."""
         for n, (prints, item, at, table) in self.by.items():
-            found, text, place = fingerprints(words, offsets, n)
+            found, text, _ = fingerprints(words, offsets, n)
             near = np.flatnonzero(table[found >> (np.uint64(64) - TABLE_BITS)])
             low = np.searchsorted(prints, found[near], "left")
-            count = np.searchsorted(prints, found[near], "right") - low
-            rows = np.repeat(near, count)
-            pick = np.repeat(low - np.cumsum(count) + count, count) + np.arange(len(rows))
-            out.append((text[rows], item[pick], at[pick], place[rows]))
-        return tuple(map(np.concatenate, zip(*out))) if out else (np.zeros(0, np.int64),) * 4
-
-
-def greedy_tiles(in_item: np.ndarray, in_text: np.ndarray, least: int) -> list[tuple[int, int, int]]:
-    """(start in the item, start in the text, words) of each tile, from all places where ``least`` words agree.
+            low[low == len(prints)] = 0
+            hit = prints[low] == found[near]
+            text, low = np.divmod(np.unique(text[near[hit]] * len(prints) + low[hit]), len(prints))
+            count = np.searchsorted(prints, prints[low], "right") - low
+            borders = np.flatnonzero(np.diff(text, prepend=-1))
+            total = np.concatenate(([0], np.cumsum(count)))[[*borders, len(text)]]
+            start = 0
+            while start < len(borders):
+                end = max(start + 1, int(np.searchsorted(total, total[start] + MOST_SEEDS, side="right")) - 1)
+                own = slice(borders[start], borders[end] if end < len(borders) else len(text))
+                rows = np.repeat(np.arange(own.start, own.stop), count[own])
+                pick = np.repeat(low[own] - np.cumsum(count[own]) + count[own], count[own]) + np.arange(len(rows))
+                t, i, a = text[rows], item[pick], at[pick]
+                order = np.lexsort((a, i, t))
+                t, i, a = t[order], i[order], a[order]
+                new = np.concatenate(([True], (np.diff(t) != 0) | (np.diff(i) != 0)))
+                first = np.flatnonzero(new)
+                # No tiling covers more than all the seeds do.
+                gain = np.where(np.append(new[1:], True), n, np.minimum(np.diff(a, append=0), n))
+                most = np.add.reduceat(gain, first)
+                for k in np.flatnonzero(most >= threshold * self.length[i[first]]):
+                    yield int(t[first[k]]), int(i[first[k]])
+                start = end
+
+
+def paired_matches(in_item: np.ndarray, in_text: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words, start in the item, start in the text) of each maximal match, from all places where ``least`` words agree."""
+    order = np.lexsort((in_item, in_text - in_item))
+    i, diagonal = in_item[order], (in_text - in_item)[order]
+    starts = np.flatnonzero(np.concatenate(([True], (np.diff(diagonal) != 0) | (np.diff(i) > 1)))[: len(i)])
+    ends = np.append(starts[1:], len(i))[: len(starts)] - 1
+    return i[ends] - i[starts] + least, i[starts], i[starts] + diagonal[starts]
+
+
+def rolled_matches(item: np.ndarray, text: np.ndarray, places: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same from the words themselves; ``places`` are those of the text where a seed of the item begins."""
+    covered = np.zeros(len(text) + 1, np.int64)
+    np.add.at(covered, places, 1)
+    np.add.at(covered, places + least, -1)
+    at = np.flatnonzero(np.cumsum(covered)[:-1])
+    # Words that no seed covers are left out, and a word that is in no item stands where they were.
+    gaps = np.flatnonzero(np.diff(at) > 1) + 1
+    words, at = np.insert(text[at], gaps, 0), np.insert(at, gaps, -1)
+    run = np.zeros(len(words) + 1, np.int32)
+    found = []
+    same = words == item[-1]
+    for a in range(len(item) - 1, -1, -1):
+        run[:-1] = np.where(same, run[1:] + 1, 0)
+        same = words == item[a - 1] if a else np.zeros(len(words), bool)
+        begins = run[:-1] >= least
+        begins[1:] &= ~same[:-1]
+        b = np.flatnonzero(begins)
+        found.append((run[b].astype(np.int64), np.full(len(b), a), at[b]))
+    sizes, a, b = map(np.concatenate, zip(*found))
+    return sizes, a, b
+
+
+def all_matches(item: np.ndarray, text: np.ndarray, least: int, most_pairs: int = MOST_PAIRS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words, start in the item, start in the text) of each maximal match of ``least`` words or more."""
+    seeds, _, at = fingerprints(item, np.array([0, len(item)]), least)
+    spots, _, place = fingerprints(text, np.array([0, len(text)]), least)
+    order = np.argsort(seeds, kind="stable")
+    seeds, at = seeds[order], at[order]
+    low = np.searchsorted(seeds, spots, "left")
+    count = np.searchsorted(seeds, spots, "right") - low
+    if count.sum() > most_pairs:
+        return rolled_matches(item, text, place[count > 0], least)
+    pick = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
+    return paired_matches(at[pick], np.repeat(place, count), least)
+
+
+def marked(sizes: np.ndarray, a: np.ndarray, b: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """(start in the item, start in the text, words) of each tile, from the maximal matches.
 
     Longer matches come first, then smaller starts in the item and the text.  What is
     left unmarked of a match that another one has cut waits for its own length.
     """
-    order = np.lexsort((in_item, in_text - in_item))
-    i, diagonal = in_item[order], (in_text - in_item)[order]
-    new = np.concatenate(([True], (np.diff(diagonal) != 0) | (np.diff(i) > 1)))
-    starts = np.flatnonzero(new)
-    ends = np.concatenate((starts[1:], [len(i)])) - 1
-    heap = [(-(int(i[e] - i[s]) + least), int(i[s]), int(i[s] + diagonal[s])) for s, e in zip(starts, ends)]
-    heapq.heapify(heap)
-    item_marks: set[int] = set()
-    text_marks: set[int] = set()
-    tiles = []
-    while heap:
-        size, a, b = heapq.heappop(heap)
-        free = [a + k not in item_marks and b + k not in text_marks for k in range(-size)]
-        if all(free):
-            tiles.append((a, b, -size))
-            item_marks.update(range(a, a - size))
-            text_marks.update(range(b, b - size))
+    tiles: list[tuple[int, int, int]] = []
+    if not len(sizes):
+        return tiles
+    order = np.lexsort((b, a, -sizes))
+    sizes, a, b = sizes[order], a[order], b[order]
+    step = np.zeros(int((a + sizes).max()) + 1, np.int64)
+    np.add.at(step, a, 1)
+    np.add.at(step, a + sizes, -1)
+    item_free, text_free = np.cumsum(step)[:-1] > 0, np.ones(int((b + sizes).max()), bool)
+    stretches = lambda free: np.flatnonzero(np.diff(np.concatenate(([False], free, [False])).astype(np.int8))).reshape(-1, 2)
+    rest: list[tuple[int, int, int]] = []
+    at = 0
+    while at < len(sizes) or rest:
+        if at < len(sizes) and (not rest or (-sizes[at], a[at], b[at]) < rest[0]):
+            size, x, y = int(sizes[at]), int(a[at]), int(b[at])
+            at += 1
+        else:
+            size, x, y = heapq.heappop(rest)
+            size = -size
+        free = item_free[x : x + size] & text_free[y : y + size]
+        if not free.all():
+            for s, e in stretches(free).tolist():
+                if e - s >= least:
+                    heapq.heappush(rest, (s - e, x + s, y + s))
             continue
-        run = 0
-        for k, ok in enumerate([*free, False]):
-            if ok:
-                run += 1
-            else:
-                if run >= least:
-                    heapq.heappush(heap, (-run, a + k - run, b + k - run))
-                run = 0
+        tiles.append((x, y, size))
+        item_free[x : x + size] = text_free[y : y + size] = False
+        left = stretches(item_free)
+        if not len(left) or np.diff(left).max() < least:
+            break
     return tiles
 
 
+def greedy_tiles(in_item: np.ndarray, in_text: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """(start in the item, start in the text, words) of each tile, from all places where ``least`` words agree."""
+    return marked(*paired_matches(in_item, in_text, least), least)
+
+
 def found(seeds: Seeds, words: np.ndarray, offsets: np.ndarray, threshold: float) -> Iterator[tuple[int, int, int, list]]:
     """(text, number of the item, words covered, tiles) of each contaminated text."""
-    text, item, a, b = seeds.hits(words, offsets)
-    if not len(text):
-        return
-    order = np.lexsort((a, item, text))
-    text, item, a, b = text[order], item[order], a[order], b[order]
-    starts = np.flatnonzero(np.concatenate(([True], (np.diff(text) != 0) | (np.diff(item) != 0))))
-    for s, e in zip(starts, [*starts[1:], len(text)]):
-        k = item[s]
-        n, length = int(seeds.need[k]), int(seeds.length[k])
-        # No tiling covers more than all the seeds do.
-        own = np.unique(a[s:e])
-        if np.minimum(np.diff(own, append=own[-1] + n), n).sum() < threshold * length:
-            continue
-        tiles = greedy_tiles(a[s:e], b[s:e], n)
+    for text, k in seeds.candidates(words, offsets, threshold):
+        n = int(seeds.need[k])
+        item = seeds.words[seeds.offsets[k] : seeds.offsets[k + 1]]
+        tiles = marked(*all_matches(item, words[offsets[text] : offsets[text + 1]], n), n)
         covered = sum(x for _, _, x in tiles)
-        if covered >= threshold * length:
-            yield int(text[s]), int(k), covered, tiles
+        if covered >= threshold * len(item):
+            yield text, k, covered, tiles
 
 
 def benchmark_bytes(benchmark: DataFrame, text_col: str = "text") -> int:
@@ -257,9 +327,15 @@ def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _joined(docs, benchmark, least, threshold, id_col, text_col, item_col, item_text_col):
-    """Like ``contaminated`` for a benchmark of any size, plus row and item_row, once for equal rows and items: fingerprints of both sides meet in a join, hits of a pair in one group."""
+    """Like ``contaminated`` for a benchmark of any size, plus row and item_row, once for equal rows and items.
+
+    Fingerprints of both sides meet in a join, each once a text; the texts of pairs that
+    have enough of them are joined again and tiled, a pair a row.
+    """
+
+    def prints(most: int | None):
+        """``most``: of items, all runs of that many words, or of all words; of documents (None), the distinct runs of 1 to ``least`` words."""
 
-    def prints(least_only: int | None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             claim("word hashes")
             hashed = word_hashes()
@@ -269,7 +345,12 @@ def _joined(docs, benchmark, least, threshold, id_col, text_col, item_col, item_
                     lengths = np.diff(offsets)
                     for n in range(1, least + 1):
                         p, t, at = fingerprints(words, offsets, n)
-                        keep = np.ones(len(p), bool) if least_only is None else np.minimum(lengths[t], least_only) == n
+                        if most is None:
+                            order = np.lexsort((p, t))
+                            p, t, at = p[order], t[order], at[order]
+                            keep = np.concatenate(([True], (np.diff(t) != 0) | (p[1:] != p[:-1])))[: len(p)]
+                        else:
+                            keep = np.minimum(lengths[t], most) == n
                         p, t, at = p[keep], t[keep], at[keep]
                         yield pa.record_batch(
                             [part.column(0).take(pa.array(t)), part.column(1).take(pa.array(t)), pa.array(np.full(len(t), n, np.int32)), pa.array(p.view(np.int64)), pa.array(lengths[t], pa.int32()), pa.array(at, pa.int32())],
@@ -279,30 +360,44 @@ def _joined(docs, benchmark, least, threshold, id_col, text_col, item_col, item_
         return run
 
     schema = "id long, row long, n int, print long, words int, at int"
-    seeds = _keyed(benchmark, item_col, item_text_col).mapInArrow(prints(least), schema).select("n", "print", F.col("id").alias("item_id"), F.col("row").alias("item_row"), F.col("words").alias("item_words"), F.col("at").alias("item_at"))
-    spots = _keyed(docs, id_col, text_col).mapInArrow(prints(None), schema).select("n", "print", F.col("id").alias("doc_id"), "row", F.col("at").alias("text_at"))
+    sides = {"doc_id": _keyed(docs, id_col, text_col), "item_id": _keyed(benchmark, item_col, item_text_col)}
+    seeds = sides["item_id"].mapInArrow(prints(least), schema).select("n", "print", F.col("id").alias("item_id"), F.col("row").alias("item_row"), F.col("words").alias("item_words"), F.col("at").alias("item_at"))
+    spots = sides["doc_id"].mapInArrow(prints(None), schema).select("n", "print", F.col("id").alias("doc_id"), "row")
     pairs = (
         spots.join(seeds, ["n", "print"])
         .groupBy("doc_id", "row", "item_id", "item_row")
-        .agg(F.first("n").alias("n"), F.first("item_words").alias("words"), F.collect_set(F.struct("item_at", "text_at")).alias("hits"), F.countDistinct("item_at").alias("seeds"))
+        .agg(F.first("n").alias("n"), F.first("item_words").alias("words"), F.countDistinct("item_at").alias("seeds"))
         .where(F.col("seeds") * F.col("n") >= F.lit(threshold) * F.col("words"))
     )
+    pairs = stash(pairs.select("doc_id", "row", "item_id", "item_row", "n"), "tiling-pairs")
+    for key, row, text in (("doc_id", "row", "text"), ("item_id", "item_row", "item_text")):
+        own = sides[key].select(F.col("id").alias("_i"), F.col("row").alias("_r"), F.col("text").alias(text))
+        same = F.col("_i").eqNullSafe(F.col(f"_{key}")) & (F.col("_r") == F.col(f"_{row}"))
+        asked = pairs.select(F.col(key).alias(f"_{key}"), F.col(row).alias(f"_{row}")).distinct()
+        own = own.join(asked, same, "left_semi").dropDuplicates(["_i", "_r"])
+        sides[key] = own.withColumnsRenamed({"_i": f"_{key}", "_r": f"_{row}"})
+    rows = pairs.join(sides["doc_id"], F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("row") == F.col("_row")))
+    rows = rows.join(sides["item_id"], F.col("item_id").eqNullSafe(F.col("_item_id")) & (F.col("item_row") == F.col("_item_row")))
 
     def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("word hashes")
+        hashed = word_hashes()
         for batch in batches:
-            rows, keys = [], []
-            for r in batch.to_pylist():
-                a, b = (np.array([h[k] for h in r["hits"]]) for k in ("item_at", "text_at"))
-                tiles = greedy_tiles(a, b, r["n"])
-                covered = sum(x for _, _, x in tiles)
-                if covered >= threshold * r["words"]:
-                    rows.append((r["doc_id"], r["item_id"], r["words"], covered, tiles))
-                    keys.append((r["row"], r["item_row"]))
-            if rows:
-                out = _result(rows)
-                yield pa.record_batch([*out.columns, *(pa.array(k, pa.int64()) for k in zip(*keys))], [*out.schema.names, "row", "item_row"])
-
-    return pairs.select("doc_id", "row", "item_id", "item_row", "n", "words", "hits").mapInArrow(tile, OUT + ", row long, item_row long")
+            for part in pieces_of(batch, 5, SLICE_BYTES):
+                (texts, t), (items, i) = hashed(part.column(5)), hashed(part.column(6))
+                out, keys = [], []
+                for r, (doc, row, item, item_row, n) in enumerate(zip(*(part.column(c).to_pylist() for c in range(5)))):
+                    words = items[i[r] : i[r + 1]]
+                    tiles = marked(*all_matches(words, texts[t[r] : t[r + 1]], n), n)
+                    covered = sum(x for _, _, x in tiles)
+                    if covered >= threshold * len(words):
+                        out.append((doc, item, len(words), covered, tiles))
+                        keys.append((row, item_row))
+                if out:
+                    done = _result(out)
+                    yield pa.record_batch([*done.columns, *(pa.array(k, pa.int64()) for k in zip(*keys))], [*done.schema.names, "row", "item_row"])
+
+    return rows.select("doc_id", "row", "item_id", "item_row", "n", "text", "item_text").mapInArrow(tile, OUT + ", row long, item_row long")
 
 
 def op1_benchmark_tiling(spark, sf_dir):

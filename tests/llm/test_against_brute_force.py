@@ -184,6 +184,45 @@ def test_tiles():
             assert sum(t[2] for t in string_tiling.greedy_tiles(a, b, 3)) == brute_tiles(item, text, 3)
 
 
+def test_matches_of_repeated_words():
+    rng = random.Random(17)
+    for _ in range(80):
+        letters = rng.choice([1, 2, 3, 20])
+        item, text = (np.array([rng.randrange(1, letters + 1) for _ in range(rng.randint(3, n))], np.uint64) for n in (25, 60))
+        few, many = (sorted(zip(*(x.tolist() for x in string_tiling.all_matches(item, text, 3, most)))) for most in (1 << 20, -1))
+        runs = []
+        for a, b in itertools.product(range(len(item)), range(len(text))):
+            n = 0
+            while a + n < len(item) and b + n < len(text) and item[a + n] == text[b + n]:
+                n += 1
+            if n >= 3 and not (a and b and item[a - 1] == text[b - 1]):
+                runs.append((n, a, b))
+        assert few == many == sorted(runs)
+        if runs:
+            tiles = string_tiling.marked(*map(np.array, zip(*runs)), 3)
+            assert sum(t[2] for t in tiles) == brute_tiles(item.tolist(), text.tolist(), 3)
+
+
+@pytest.mark.parametrize("most", [1 << 20, 0])
+def test_one_word_many_times(spark, most):
+    import resource
+    import time
+
+    item, text = "same " * 2000, "Same, " * 20_000
+    docs = spark.createDataFrame([(1, text), (2, "same " * 1000), (3, "same other " * 3000), (4, text + "end " + item), (5, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item), (2, None), (3, "same " * 3), (4, "once upon a time there was one same same same same")], "item_id long, text string")
+    began = time.time()
+    got = {(r.doc_id, r.item_id): (r.words, r.covered) for r in string_tiling.contaminated(docs, bench, most_bytes=most).collect()}
+    assert got == {(1, 1): (2000, 2000), (4, 1): (2000, 2000)} | {(i, 3): (3, 3) for i in (1, 2, 4)}
+    assert {r.doc_id for r in string_tiling.decontaminate(docs, bench, most_bytes=most).collect()} == {3, 5}
+    assert time.time() - began < 90
+    seeds = string_tiling.Seeds([(1, item)])
+    words, offsets = string_tiling.Words()(pa.array([text]))
+    before, began = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.time()
+    assert [x[2] for x in string_tiling.found(seeds, words, offsets, 0.6)] == [2000]
+    assert time.time() - began < 10 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 500 << 10
+
+
 def test_reordered_passages_are_found(spark):
     item = "the quick brown fox jumps over the lazy dog while seven wizards quietly mix strong black tea"
     words = item.split()
