@@ -9,6 +9,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import re
 import shutil
 import tempfile
 import uuid
@@ -25,10 +26,12 @@ _OWN: list[str] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where that is unset and all run in one process."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
     if not _OWN:
         _OWN.append(tempfile.mkdtemp(prefix="matrixweave-"))
         atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
@@ -41,21 +44,31 @@ def new_path(spark: SparkSession, tag: str) -> str:
 
 
 def stash(df: DataFrame, tag: str, **options: str) -> DataFrame:
-    """Write ``df`` in the shared folder and read it back: its lineage ends there, and lost executors cost nothing."""
+    """Write ``df`` in the shared folder and read it back: its lineage ends there, and lost executors cost nothing.
+
+    The table goes when the application ends, or before that by ``unstash``.
+    """
     path = new_path(df.sparkSession, tag)
     df.write.options(**({"compression": "zstd"} | options)).parquet(path)
+    at, system = _located(df.sparkSession, path)
+    system.deleteOnExit(at)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stashed_at = path
     return out
 
 
+def _located(spark: SparkSession, path: str):
+    """The path and its file system, in the driver's JVM."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
 def unstash(df: DataFrame | None) -> None:
     """Delete what ``stash`` wrote; only for tables that no plan still reads."""
     path = getattr(df, "_stashed_at", None)
     if path:
-        jvm, hadoop = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(hadoop).delete(at, True)
+        at, system = _located(df.sparkSession, path)
+        system.delete(at, True)
 
 
 def carried(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -507,3 +507,28 @@ def test_lines_that_many_documents_hold(spark, monkeypatch, frequent):
     want = {i: "\n".join(x for x in t.split("\n") if len(key(x)) < 10 or first[key(x)] == i) for i, t in rows}
     df = spark.createDataFrame(rows[::-1], "doc_id long, text string")
     assert {r.doc_id: r._kept for r in line_dedup.dedup_lines(df).collect()} == want
+
+
+@pytest.mark.parametrize("factor", [1.0, 0.5])
+def test_shards_are_pruned(spark, factor):
+    rng = np.random.default_rng(18)
+    x = np.repeat(rng.normal(size=(40, 16)), 50, axis=0) + rng.normal(size=(2000, 16)) * 0.02
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[700:1300] = x[700]  # a vector that nearly a third of all rows hold
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = df.where("vec_id % 20 = 0")
+    # Query rows that share an id, with one vector and with two.
+    asked = asked.unionByName(asked.where("vec_id = 40")).unionByName(spark.createDataFrame([(60, x[1500].tolist()), (1, [1.0, 0.0])], asked.schema))
+    seen, got = {}, collections.defaultdict(list)
+    for r in vantage_trees.nearest(df, asked, 5, factor, shard_rows=100, seen=seen).collect():
+        got[r.query_id].append((r["rank"], r.vec_id, r.score))
+    assert set(got) == set(range(0, 2000, 20)) and len(got[40]) == len(got[60]) == 10
+    hits = 0
+    for i, v in [(i, x[i]) for i in range(0, 2000, 20)] + [(40, x[40]), (60, x[1500])]:
+        exact = np.cumsum(x * v, axis=1)[:, -1]
+        want = [(n + 1, int(j), exact[j]) for n, j in enumerate([j for j in np.lexsort((np.arange(2000), -exact)) if j != i][:5])]
+        hits += sum(w in got[i] for w in want)
+        assert factor < 1 or all(w in got[i] for w in want)
+    assert hits >= 0.9 * 5 * 102
+    assert seen["searched"] < 0.5 * seen["are"]
