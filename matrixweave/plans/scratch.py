@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -13,10 +14,12 @@ _OWN: list[str] = []
 
 
 def folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where the session names none."""
+    """spark.checkpoint.dir, or a folder of our own where the session names none and all runs in one process."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
     if not _OWN:
         _OWN.append(tempfile.mkdtemp(prefix="matrixweave-core-"))
         atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
@@ -24,6 +27,9 @@ def folder(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
+    """``df``, written and read back; the table goes when the application ends."""
     path = f"{folder(df.sparkSession)}/matrixweave-core/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(at)
     return df.sparkSession.read.schema(df.schema).parquet(path)
