@@ -20,22 +20,22 @@ EPS = 1e-9
 def features(patches: DataFrame, cells: DataFrame, cross: DataFrame, lattice: DataFrame, types: list[str], k: int, context: str = "joint") -> DataFrame:
     """(sample_id, id, label, x array): shares of the neighbouring cells' types, of the neighbouring patches' labels, or both; zeros where there are none.
 
-    ``patches(sample_id, id, label)``, ``cells(cell_id, cell_type)``.  Each part adds up to 1.
+    ``patches(sample_id, id, label)``, ``cells(sample_id, cell_id, cell_type)``.  Each part adds up to 1.
     """
     parts = []
     if context in ("cell", "joint"):
-        met = cross.select("src", F.col("dst").alias("id")).join(cells.select(F.col("cell_id").alias("src"), "cell_type"), "src")
-        counts = met.groupBy("id").agg(F.array(*[F.sum((F.col("cell_type") == t).cast("double")) for t in types]).alias("_cell"))
+        met = cross.select("sample_id", "src", F.col("dst").alias("id")).join(cells.select("sample_id", F.col("cell_id").alias("src"), "cell_type"), ["sample_id", "src"])
+        counts = met.groupBy("sample_id", "id").agg(F.array(*[F.sum((F.col("cell_type") == t).cast("double")) for t in types]).alias("_cell"))
         parts.append((counts, "_cell", len(types)))
     if context in ("ecm", "joint"):
-        near = symmetric(lattice.select("sample_id", "src", "dst")).join(patches.select(F.col("id").alias("dst"), F.col("label").alias("_l")), "dst").where((F.col("_l") >= 0) & (F.col("_l") < k))
-        counts = near.groupBy(F.col("src").alias("id")).agg(F.array(*[F.sum((F.col("_l") == c).cast("double")) for c in range(k)]).alias("_ecm"))
+        near = symmetric(lattice.select("sample_id", "src", "dst")).join(patches.select("sample_id", F.col("id").alias("dst"), F.col("label").alias("_l")), ["sample_id", "dst"]).where((F.col("_l") >= 0) & (F.col("_l") < k))
+        counts = near.groupBy("sample_id", F.col("src").alias("id")).agg(F.array(*[F.sum((F.col("_l") == c).cast("double")) for c in range(k)]).alias("_ecm"))
         parts.append((counts, "_ecm", k))
     out = patches.select("sample_id", "id", "label")
     for counts, name, n in parts:
         total = F.aggregate(name, F.lit(0.0), lambda s, x: s + x)
-        counts = counts.withColumn("_t", total).select("id", F.transform(name, lambda x: F.when(F.col("_t") > 0, x / F.col("_t")).otherwise(0.0)).alias(name))
-        out = out.join(counts, "id", "left").withColumn(name, F.coalesce(name, F.array_repeat(F.lit(0.0), n)))
+        counts = counts.withColumn("_t", total).select("sample_id", "id", F.transform(name, lambda x: F.when(F.col("_t") > 0, x / F.col("_t")).otherwise(0.0)).alias(name))
+        out = out.join(counts, ["sample_id", "id"], "left").withColumn(name, F.coalesce(name, F.array_repeat(F.lit(0.0), n)))
     return out.select("sample_id", "id", "label", F.concat(*[p[1] for p in parts]).alias("x"))
 
 
@@ -76,7 +76,7 @@ def held_out(pristine: DataFrame, corrupted: DataFrame, build, folds: DataFrame,
         model = fit(train.join(F.broadcast(own), "sample_id", "left_anti"), max_iter)
         scored = score(model, test.join(F.broadcast(own), "sample_id", "left_semi"))
         out.append(written(scored.select(F.lit(name).alias("fold"), "sample_id", "id", "label", "raw", "anomaly", "predicted"), "fold"))
-    return functools.reduce(DataFrame.unionByName, out).join(corrupted.select("id", "truth"), "id")
+    return functools.reduce(DataFrame.unionByName, out).join(corrupted.select("sample_id", "id", "truth"), ["sample_id", "id"])
 
 
 def areas(scored: DataFrame) -> DataFrame:

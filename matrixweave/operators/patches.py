@@ -153,7 +153,7 @@ def apply_overlay(patches: DataFrame, overlay: DataFrame, most_mismatch: float =
     ``overlay(patch_id, is_artifact, replacement, reference)``; a sample whose labels
     differ from the reference in more than ``most_mismatch`` of its rows is an error.
     """
-    joined = patches.join(overlay, "patch_id", "left")
+    joined = patches.join(overlay, ["sample_id", "patch_id"] if "sample_id" in overlay.columns else "patch_id", "left")
     off = F.avg((F.col("ecm_cluster") != F.col("reference")).cast("double")).over(Window.partitionBy("sample_id"))
     checked = joined.withColumn("_off", F.coalesce(off, F.lit(0.0)))
     bad = F.raise_error(F.concat(F.lit("labels differ from the overlay's reference in sample "), F.col("sample_id").cast("string")))

@@ -1,17 +1,23 @@
 """Contingency statistics, permutation nulls by hashed ranks, curves and summaries.
 
-Permutations are ranks by md5 of (seed, permutation, sample, id): they keep label
-counts, don't depend on partitioning, and SQL can repeat them.
+Permutations are ranks by a hash of (seed, permutation, id) within a sample: they keep
+label counts, don't depend on partitioning, and SQL can repeat them.  Ids are those of
+their sample: every join is on sample_id too.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matrixweave.functions.scale import benjamini_hochberg
 
 EPS = 1e-9
+#: Permutations that one task deals, and the prime and factors of their hash.
+BATCH, PRIME, FACTORS = 250, 2**31 - 1, (16807, 48271, 69621, 40692)
 
 
 def _mean_of(v: str, by: list[str]) -> Column:
@@ -55,12 +61,61 @@ def cooccurrence(labels: DataFrame, edges: DataFrame, k: int, eps: float = EPS)
 
 def interactions(cells: DataFrame, labels: DataFrame, cross: DataFrame) -> DataFrame:
     """(cell_type, label, n) of cross edges, zero-filled; background is a label like any other here."""
-    n = cross.join(cells.select("sample_id", F.col("cell_id").alias("src"), "cell_type"), ["sample_id", "src"]).join(labels.select(F.col("id").alias("dst"), "label"), "dst")
+    n = cross.join(cells.select("sample_id", F.col("cell_id").alias("src"), "cell_type"), ["sample_id", "src"]).join(labels.select("sample_id", F.col("id").alias("dst"), "label"), ["sample_id", "dst"])
     n = n.groupBy("cell_type", "label").agg(F.count("*").alias("n"))
     grid = cells.select("cell_type").distinct().crossJoin(F.broadcast(labels.select("label").distinct()))
     return grid.join(n, ["cell_type", "label"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
+def deal_hash(ids: np.ndarray, perm: int, seed: int) -> np.ndarray:
+    """What the rows of a sample are ranked by in a permutation; all steps stay under 2^63."""
+    f, g, h, k = FACTORS
+    a = (ids % PRIME * f + perm * g + seed) % PRIME
+    c = (a * a % PRIME * h + a * k + perm) % PRIME
+    return (c * c + a) % PRIME
+
+
+def dealt_counts(units: DataFrame, weights: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """(perm, sample_id, value, other, n) for perm 0 to n - 1: sums of ``weights(sample_id, id, other, m)`` by the value dealt to the id.
+
+    ``units(sample_id, id, value)``: the values of a sample are dealt anew among its rows,
+    a row of hash rank r gets that of the r-th id; perm 0 is as it was.  Counts of zero
+    have no row.  A task holds the rows of one sample, as two codes each and the weights,
+    for ``BATCH`` permutations; only counts leave it.
+    """
+    kinds = dict(units.dtypes)["value"], dict(weights.dtypes)["other"]
+    per = weights.groupBy("sample_id", "id").agg(F.collect_list(F.struct("other", F.col("m").cast("double").alias("m"))).alias("w"))
+    rows = units.select("sample_id", F.col("id").cast("long").alias("id"), "value").join(per, ["sample_id", "id"], "left")
+    rows = rows.withColumn("batch", F.explode(F.sequence(F.lit(0), F.lit((n - 1) // BATCH))))
+
+    def deal(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by("id").combine_chunks()
+        ids = np.asarray(table.column("id"))
+        value = table.column("value").combine_chunks().dictionary_encode("encode")
+        lists = table.column("w").combine_chunks()
+        flat = lists.flatten()
+        other = flat.field("other").dictionary_encode("encode")
+        row = np.repeat(np.arange(len(ids)), np.asarray(pc.fill_null(pc.list_value_length(lists), 0)))
+        codes, others, m = np.asarray(value.indices), np.asarray(other.indices), np.asarray(flat.field("m"))
+        wide = max(1, len(other.dictionary))
+        found = []
+        for perm in range(key[1].as_py() * BATCH, min((key[1].as_py() + 1) * BATCH, n)):
+            moved = codes
+            if perm:
+                moved = np.empty_like(codes)
+                moved[np.argsort(deal_hash(ids, perm, seed), kind="stable")] = codes
+            count = np.bincount(moved[row] * wide + others, m)
+            at = np.flatnonzero(count)
+            found.append((np.full(len(at), perm), at, count[at]))
+        perm, at, count = map(np.concatenate, zip(*found))
+        return pa.table(
+            [pa.array(perm, pa.int32()), pa.array([key[0].as_py()] * len(perm), key[0].type), value.dictionary.take(pa.array(at // wide)), other.dictionary.take(pa.array(at % wide)), pa.array(count.astype(np.int64))],
+            ["perm", "sample_id", "value", "other", "n"],
+        )
+
+    return rows.groupBy("sample_id", "batch").applyInArrow(deal, f"perm int, sample_id {dict(units.dtypes)['sample_id']}, value {kinds[0]}, other {kinds[1]}, n long")
+
+
 def hash_rank(df: DataFrame, key: str, seed: int, *by: str) -> Column:
     """The rank of a row among those of ``by`` in the order of its hash."""
     return F.row_number().over(Window.partitionBy(*by).orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(b).cast("string") for b in by], F.col(key).cast("string"))), key))
@@ -85,12 +140,17 @@ def enrichment(cells: DataFrame, labels: DataFrame, cross: DataFrame, k: int, n_
     p_fdr is over the whole matrix.  Edges are counted by cell and cluster once, and
     permutations meet those counts only.
     """
-    own = labels.where((F.col("label") >= 0) & (F.col("label") < k)).select(F.col("id").alias("dst"), F.col("label").cast("int").alias("cluster"))
-    by_cell = cross.join(own, "dst").groupBy("sample_id", F.col("src").alias("cell_id"), "cluster").agg(F.count("*").alias("n"))
+    own = labels.where((F.col("label") >= 0) & (F.col("label") < k)).select("sample_id", F.col("id").alias("dst"), F.col("label").cast("int").alias("cluster"))
+    by_cell = cross.join(own, ["sample_id", "dst"]).groupBy("sample_id", F.col("src").alias("cell_id"), "cluster").agg(F.count("*").alias("n"))
     share = by_cell.groupBy("sample_id", "cluster").agg(F.sum("n").alias("n"))
     share = share.select("sample_id", "cluster", (F.col("n") / F.sum("n").over(Window.partitionBy("sample_id"))).alias("share"))
-    types = permuted(cells.select("sample_id", "cell_id", "cell_type"), "cell_id", "cell_type", max(1, n_perm + 1), seed) if n_perm else cells.select(F.lit(0).alias("perm"), "sample_id", "cell_id", "cell_type")
-    met = types.join(by_cell, ["sample_id", "cell_id"]).groupBy("perm", "sample_id", "cell_type", "cluster").agg(F.sum("n").alias("n"))
+    if n_perm:
+        units = cells.select("sample_id", F.col("cell_id").alias("id"), F.col("cell_type").alias("value"))
+        met = dealt_counts(units, by_cell.select("sample_id", F.col("cell_id").alias("id"), F.col("cluster").alias("other"), F.col("n").alias("m")), n_perm + 1, seed)
+        met = met.select("perm", "sample_id", F.col("value").alias("cell_type"), F.col("other").alias("cluster"), "n")
+    else:
+        typed = cells.select(F.lit(0).alias("perm"), "sample_id", "cell_id", "cell_type")
+        met = typed.join(by_cell, ["sample_id", "cell_id"]).groupBy("perm", "sample_id", "cell_type", "cluster").agg(F.sum("n").alias("n"))
     seen = met.groupBy("perm", "cell_type", "cluster").agg(F.sum("n").alias("observed"))
     target = met.groupBy("perm", "sample_id", "cell_type").agg(F.sum("n").alias("m"))
     expected = target.join(share, "sample_id").groupBy("perm", "cell_type", "cluster").agg(F.sum(F.col("m") * F.col("share")).alias("expected"))
@@ -106,11 +166,10 @@ def enrichment(cells: DataFrame, labels: DataFrame, cross: DataFrame, k: int, n_
 
 
 def interaction_test(cells: DataFrame, labels: DataFrame, cross: DataFrame, n: int, level: float = 0.05, seed: int = 0) -> DataFrame:
-    """(cell_type, label, n, p_enriched, p_depleted, call) with patch labels dealt anew; call is -1 (wins), 1 or 0; no one is added."""
-    typed = cross.join(cells.select("sample_id", F.col("cell_id").alias("src"), "cell_type"), ["sample_id", "src"]).groupBy("dst", "cell_type").agg(F.count("*").alias("m"))
-    pool = labels.select(F.lit(0).alias("sample_id"), F.col("id").alias("dst"), "label")
-    moved = permuted(pool, "dst", "label", n + 1, seed)
-    counts = typed.join(moved, "dst").groupBy("perm", "cell_type", "label").agg(F.sum("m").alias("n"))
+    """(cell_type, label, n, p_enriched, p_depleted, call) with patch labels dealt anew within samples; call is -1 (wins), 1 or 0; no one is added."""
+    typed = cross.join(cells.select("sample_id", F.col("cell_id").alias("src"), "cell_type"), ["sample_id", "src"]).groupBy("sample_id", F.col("dst").alias("id"), "cell_type").agg(F.count("*").alias("m"))
+    counts = dealt_counts(labels.select("sample_id", "id", F.col("label").alias("value")), typed.withColumnRenamed("cell_type", "other"), n + 1, seed)
+    counts = counts.groupBy("perm", F.col("other").alias("cell_type"), F.col("value").alias("label")).agg(F.sum("n").alias("n"))
     grid = typed.select("cell_type").distinct().crossJoin(F.broadcast(labels.select("label").distinct())).crossJoin(F.broadcast(cells.sparkSession.range(n + 1).select(F.col("id").cast("int").alias("perm"))))
     full = grid.join(counts, ["perm", "cell_type", "label"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     real = full.where("perm = 0").select("cell_type", "label", F.col("n").alias("_n"))
@@ -164,7 +223,7 @@ def centroids(patches: DataFrame, markers: list[str], k: int, eps: float = EPS)
 def niche(cells: DataFrame, patches: DataFrame, cross: DataFrame, cell_type: str, cluster: int, markers: list[str]) -> DataFrame:
     """(marker, mean, share): means over edges of the patches' features, not below 0, around one cell type and cluster."""
     own = cross.join(cells.where(F.col("cell_type") == cell_type).select("sample_id", F.col("cell_id").alias("src")), ["sample_id", "src"], "left_semi")
-    met = own.join(patches.where(F.col("ecm_cluster") == cluster).select(F.col("patch_id").alias("dst"), *markers), "dst")
+    met = own.join(patches.where(F.col("ecm_cluster") == cluster).select("sample_id", F.col("patch_id").alias("dst"), *markers), ["sample_id", "dst"])
     row = met.agg(*[F.avg(F.greatest(F.col(m), F.lit(0.0))).alias(m) for m in markers])
     out = row.select(F.explode(F.array(*[F.struct(F.lit(m).alias("marker"), F.col(m).alias("mean")) for m in markers])).alias("f")).select("f.*")
     total = F.sum("mean").over(Window.partitionBy())

@@ -95,9 +95,9 @@ def shape_features(points: DataFrame, least: int = 5) -> DataFrame:
 
 def linked_patches(structure_cells: DataFrame, cross: DataFrame, patches: DataFrame, least: int = 5) -> DataFrame:
     """(uid, patch columns, radius, angle) of patches that a structure's cells touch, by the structure's centre; structures with fewer than ``least`` have none."""
-    met = cross.join(structure_cells.select(F.col("id").alias("src"), "uid"), "src").select("uid", "dst").distinct()
+    met = cross.join(structure_cells.select("sample_id", F.col("id").alias("src"), "uid"), ["sample_id", "src"]).select("sample_id", "uid", "dst").distinct()
     centre = structure_cells.groupBy("uid").agg(F.avg("x").alias("_cx"), F.avg("y").alias("_cy"))
-    own = met.join(patches.withColumnRenamed("id", "dst"), "dst").join(centre, "uid")
+    own = met.join(patches.withColumnRenamed("id", "dst"), ["sample_id", "dst"]).join(centre, "uid")
     n = F.count("*").over(Window.partitionBy("uid"))
     dx, dy = F.col("x") - F.col("_cx"), F.col("y") - F.col("_cy")
     return own.withColumns({"_n": n, "radius": F.sqrt(dx * dx + dy * dy), "angle": F.atan2(dy, dx)}).where(F.col("_n") >= least).drop("_n", "_cx", "_cy").withColumnRenamed("dst", "id")

@@ -23,9 +23,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(sample_id, cell_id, cell_type, x, y, marker) from customer: one sample a nation."""
+    """(sample_id, cell_id, cell_type, x, y, marker) from customer: as many samples as the patches have."""
     return table(spark, sf_dir, "customer").select(
-        F.col("c_nationkey").alias("sample_id"),
+        (F.col("c_nationkey") % SAMPLES).cast("int").alias("sample_id"),
         F.col("c_custkey").alias("cell_id"),
         F.col("c_mktsegment").alias("cell_type"),
         (F.col("c_custkey") * 37 % X_MOD).cast("double").alias("x"),
@@ -35,7 +35,7 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CELLS_SQL = f"""cells AS (
-  SELECT c_nationkey AS sample_id, c_custkey AS cell_id, c_mktsegment AS cell_type,
+  SELECT CAST(c_nationkey % {SAMPLES} AS INTEGER) AS sample_id, c_custkey AS cell_id, c_mktsegment AS cell_type,
          CAST(c_custkey * 37 % {X_MOD} AS DOUBLE) AS x, CAST(c_custkey * 91 % {Y_MOD} AS DOUBLE) AS y, c_acctbal AS marker
   FROM customer)"""
 
@@ -65,16 +65,17 @@ PATCHES_SQL = f"""patches AS (
 
 
 def cross_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(sample_id, src cell, dst patch) of cells that ordered a part, once each; the sample is the cell's."""
-    bought = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
-    pairs = bought.select(F.col("o_custkey").alias("src"), F.col("l_partkey").alias("dst")).distinct()
-    return pairs.join(cells(spark, sf_dir).select("sample_id", F.col("cell_id").alias("src")), "src").select("sample_id", "src", "dst")
+    """(sample_id, src cell, dst patch) of cells that ordered a part, once each; the patch is the part's neighbour in the cell's sample, if there is one."""
+    bought = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("src"), "l_partkey")
+    pairs = bought.join(cells(spark, sf_dir).select("sample_id", F.col("cell_id").alias("src")), "src")
+    pairs = pairs.select("sample_id", "src", F.expr(f"l_partkey - l_partkey % {SAMPLES} + sample_id").alias("dst")).distinct()
+    return pairs.join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("dst")), "dst", "left_semi").select("sample_id", "src", "dst")
 
 
-CROSS_SQL = """cross_edges AS (
-  SELECT c.c_nationkey AS sample_id, e.src, e.dst
-  FROM (SELECT DISTINCT o_custkey AS src, l_partkey AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey) e
-  JOIN customer c ON c.c_custkey = e.src)"""
+CROSS_SQL = f"""cross_edges AS (
+  SELECT DISTINCT CAST(c_nationkey % {SAMPLES} AS INTEGER) AS sample_id, c_custkey AS src, l_partkey - l_partkey % {SAMPLES} + c_nationkey % {SAMPLES} AS dst
+  FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey
+  WHERE l_partkey - l_partkey % {SAMPLES} + c_nationkey % {SAMPLES} IN (SELECT p_partkey FROM part))"""
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:

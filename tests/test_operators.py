@@ -392,3 +392,70 @@ def test_patch_encoder(spark, tmp_path):
         encoder.save(str(tmp_path / "m"))
     a, b = ({r.id: r.latent for r in e.transform(df).collect()} for e in (encoder, PatchEncoder.load(str(tmp_path / "m"))))
     assert a == b and len(a[0]) == 3
+
+
+@pytest.fixture(scope="module")
+def two_samples(spark):
+    """Two samples whose ids both count from 0, and the same rows with unique ids: 15 cells of a planted type and 15 others, 30 patches in three clusters."""
+    def tables(step):
+        cells, patches, cross = [], [], []
+        for s in range(2):
+            cells += [(s, c + step * s, "planted" if c < 15 else "other", float(c), float(s)) for c in range(30)]
+            patches += [(s, p + step * s, p // 10, float(p), 0.0) for p in range(30)]
+            for c in range(30):
+                near = [10 + (c + k) % 10 for k in range(4)] if c < 15 else [(c * 4 + k * 7 + s) % 30 for k in range(4)]
+                cross += [(s, c + step * s, p + step * s) for p in near]
+        make = lambda rows, schema: spark.createDataFrame(rows, schema)
+        return make(cells, "sample_id int, cell_id long, cell_type string, x double, y double"), make(patches, "sample_id int, id long, label int, x double, y double"), make(cross, "sample_id int, src long, dst long")
+
+    return tables(0), tables(1000)
+
+
+def test_ids_that_repeat_across_samples(two_samples):
+    from matrixweave.operators import denoise, stats, structures
+
+    out = []
+    for step, (cells, patches, cross) in zip((0, 1000), two_samples):
+        labels = patches.select("sample_id", "id", "label")
+        lattice = patches.select("sample_id", F.col("id").alias("src"), (F.col("id") + 1).alias("dst")).where("src % 10 < 9")
+        own = F.col("id") - step * F.col("sample_id")
+        uid = cells.where("cell_type = 'planted'").select("sample_id", F.col("cell_id").alias("id"), F.col("sample_id").cast("string").alias("uid"), "x", "y")
+        found = [
+            stats.interactions(cells, labels, cross),
+            stats.enrichment(cells, labels, cross, 3),
+            stats.niche(cells, patches.select("sample_id", F.col("id").alias("patch_id"), F.col("label").alias("ecm_cluster"), "x", "y"), cross, "planted", 1, ["x", "y"]),
+            denoise.features(labels, cells, cross, lattice, ["other", "planted"], 3).withColumn("id", own),
+            structures.linked_patches(uid, cross, patches).withColumn("id", own),
+        ]
+        out.append([sorted(map(str, map(tuple, f.select(sorted(f.columns)).collect()))) for f in found])
+    assert out[0] == out[1]
+    assert sum(r.n for r in stats.interactions(*[two_samples[0][0], two_samples[0][1].select("sample_id", "id", "label"), two_samples[0][2]]).collect()) == 240
+
+
+def test_planted_enrichment_is_found(two_samples):
+    from matrixweave.operators import stats
+
+    cells, patches, cross = two_samples[0]
+    found = stats.enrichment(cells, patches.select("sample_id", "id", "label"), cross, 3, 999, 1)
+    top = {r.cell_type: r for r in stats.top_cluster(found).collect()}
+    assert top["planted"].cluster == 1 and top["planted"].p == pytest.approx(0.001)
+    rows = found.collect()
+    assert all(r.p >= 0.001 for r in rows) and sum(r.observed for r in rows) == 240
+    calls = {(r.cell_type, r.label): r.call for r in stats.interaction_test(cells, patches.select("sample_id", "id", "label"), cross, 499, seed=3).collect()}
+    assert calls["planted", 1] == 1 and calls["planted", 0] == -1
+
+
+def test_dealt_counts_keep_labels(spark):
+    from matrixweave.operators import stats
+
+    units = spark.createDataFrame([(s, i, "ab"[i % 2] if i % 5 else None) for s in range(3) for i in range(40)], "sample_id int, id long, value string")
+    weights = spark.createDataFrame([(s, i, i % 3, 1 + i % 2) for s in range(3) for i in range(0, 40, 2)], "sample_id int, id long, other int, m long")
+    rows = stats.dealt_counts(units, weights, 601, 5).collect()
+    whole = {}
+    for r in rows:
+        whole[r.perm, r.sample_id] = whole.get((r.perm, r.sample_id), 0) + r.n
+    assert len(whole) == 601 * 3 and set(whole.values()) == {20}
+    # Deals differ, and every value reaches an id about as often as it is there.
+    share = [sum(r.n for r in rows if r.perm == p and r.value == "a") for p in range(1, 601)]
+    assert len(set(share)) > 5 and abs(sum(share) / 600 / 60 - 16 / 40) < 0.02
+    assert stats.dealt_counts(units.limit(0), weights, 10).count() == 0
