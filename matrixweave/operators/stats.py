@@ -165,6 +165,19 @@ def enrichment(cells: DataFrame, labels: DataFrame, cross: DataFrame, k: int, n_
     return benjamini_hochberg(far, "p")
 
 
+def enrichment_by_sample(cells: DataFrame, labels: DataFrame, cross: DataFrame, k: int, eps: float = EPS) -> DataFrame:
+    """(sample_id, cell_type, cluster, observed, expected, log2) within each sample, for all its cell types and the clusters 0 to k - 1; samples without edges have none."""
+    own = labels.where((F.col("label") >= 0) & (F.col("label") < k)).select("sample_id", F.col("id").alias("dst"), F.col("label").cast("int").alias("cluster"))
+    typed = cells.select("sample_id", F.col("cell_id").alias("src"), "cell_type")
+    met = cross.join(own, ["sample_id", "dst"]).join(typed, ["sample_id", "src"]).groupBy("sample_id", "cell_type", "cluster").agg(F.count("*").alias("n"))
+    side = F.broadcast(cells.sparkSession.range(k).select(F.col("id").cast("int").alias("cluster")))
+    grid = typed.select("sample_id", "cell_type").distinct().join(met.select("sample_id").distinct(), "sample_id").crossJoin(side)
+    full = grid.join(met, ["sample_id", "cell_type", "cluster"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    total = lambda *by: F.sum("n").over(Window.partitionBy("sample_id", *by))
+    full = full.withColumn("expected", total("cluster") / total() * total("cell_type"))
+    return full.select("sample_id", "cell_type", "cluster", F.col("n").cast("double").alias("observed"), "expected", F.log2((F.col("n") + eps) / (F.col("expected") + eps)).alias("log2"))
+
+
 def interaction_test(cells: DataFrame, labels: DataFrame, cross: DataFrame, n: int, level: float = 0.05, seed: int = 0) -> DataFrame:
     """(cell_type, label, n, p_enriched, p_depleted, call) with patch labels dealt anew within samples; call is -1 (wins), 1 or 0; no one is added."""
     typed = cross.join(cells.select("sample_id", F.col("cell_id").alias("src"), "cell_type"), ["sample_id", "src"]).groupBy("sample_id", F.col("dst").alias("id"), "cell_type").agg(F.count("*").alias("m"))

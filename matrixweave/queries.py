@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from matrixweave.functions import edges as edge_functions
 from matrixweave.functions import scale
-from matrixweave.operators import cluster, cohort, communities, denoise, filters, geometry, graph, nn, patches, skeleton, spatial, stats, structures, thresholds
+from matrixweave.operators import cluster, cohort, communities, denoise, filters, geometry, graph, joint, nn, patches, skeleton, spatial, stats, structures, thresholds
 from matrixweave.plans import adapters as at
 from matrixweave.sources import images, sinks, tables
 
@@ -309,6 +309,30 @@ def _(spark, sf):
     return graph.joint_summary(at.cells(spark, sf), at.patches(spark, sf), {"ecm-ecm": lattice(spark, sf), "cell-ecm": at.cross_edges(spark, sf)})
 
 
+def _joint(spark, sf):
+    cells = at.cells(spark, sf).select("sample_id", F.col("cell_id").alias("id"), "x", "y", F.col("cell_type").alias("label"))
+    own = at.patches(spark, sf).select("sample_id", F.col("patch_id").alias("id"), "x", "y", "grid_y", "grid_x", F.col("ecm_cluster").alias("label"))
+    return joint.joint_graph(cells, own, k=NEAREST, radius=AROUND_CELL)
+
+
+@query("joint_graph_nodes", """SELECT sample_id, 'cell' AS node_type, cell_id AS id, x, y, cell_type AS label FROM cells
+  UNION ALL SELECT sample_id, 'ecm', patch_id, x, y, CAST(ecm_cluster AS VARCHAR) FROM patches""", C, P)
+def _(spark, sf):
+    return rounded(_joint(spark, sf)[0])
+
+
+@query("joint_graph_edges", f"""ranked_cells AS (SELECT a.sample_id, a.cell_id AS i, b.cell_id AS j, row_number() OVER (PARTITION BY a.sample_id, a.cell_id ORDER BY (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y), b.cell_id) AS r
+  FROM cells a JOIN cells b ON a.sample_id = b.sample_id AND a.cell_id <> b.cell_id),
+pairs AS (SELECT DISTINCT sample_id, 'cell' AS src_type, least(i, j) AS src, 'cell' AS dst_type, greatest(i, j) AS dst FROM ranked_cells WHERE r <= {NEAREST}
+  UNION ALL SELECT sample_id, 'ecm', src, 'ecm', dst FROM grid_edges
+  UNION ALL SELECT c.sample_id, 'cell', cell_id, 'ecm', patch_id FROM cells c JOIN patches p ON c.sample_id = p.sample_id WHERE (c.x-p.x)*(c.x-p.x) + (c.y-p.y)*(c.y-p.y) <= {AROUND_CELL * AROUND_CELL}),
+spots AS (SELECT sample_id, 'cell' AS kind, cell_id AS id, x, y FROM cells UNION ALL SELECT sample_id, 'ecm', patch_id, x, y FROM patches),
+long AS (SELECT p.*, sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y)) AS d FROM pairs p JOIN spots a ON a.sample_id = p.sample_id AND a.kind = src_type AND a.id = src JOIN spots b ON b.sample_id = p.sample_id AND b.kind = dst_type AND b.id = dst)
+SELECT CAST(sample_id AS BIGINT) AS sample_id, src_type, src, dst_type, dst, round(d, 6) AS d, round(CASE WHEN d > 0 THEN 1 / d ELSE 0.0 END, 6) AS weight FROM long""", C, P, LATTICE_SQL)
+def _(spark, sf):
+    return rounded(_joint(spark, sf)[1])
+
+
 # Contingency statistics and tests.
 
 SHARES_SQL = """counts AS (SELECT sample_id, ecm_cluster AS label, count(*) AS n FROM patches WHERE ecm_cluster >= 0 GROUP BY ALL),
@@ -361,6 +385,16 @@ def _(spark, sf):
     return rounded(stats.enrichment(at.cells(spark, sf), labels(spark, sf), at.cross_edges(spark, sf), CLUSTERS))
 
 
+@query("enrichment_by_sample", f"""own AS (SELECT e.sample_id, c.cell_type, p.ecm_cluster AS cluster, count(*) AS n FROM cross_edges e JOIN patches p ON p.sample_id = e.sample_id AND p.patch_id = e.dst JOIN cells c ON c.sample_id = e.sample_id AND c.cell_id = e.src
+  WHERE p.ecm_cluster BETWEEN 0 AND {CLUSTERS - 1} GROUP BY 1, 2, 3),
+full_grid AS (SELECT t.sample_id, t.cell_type, k.cluster, coalesce(o.n, 0) AS n FROM (SELECT DISTINCT sample_id, cell_type FROM cells WHERE sample_id IN (SELECT sample_id FROM own)) t CROSS JOIN (SELECT unnest(range({CLUSTERS})) AS cluster) k
+  LEFT JOIN own o ON o.sample_id = t.sample_id AND o.cell_type = t.cell_type AND o.cluster = k.cluster),
+hoped AS (SELECT *, sum(n) OVER (PARTITION BY sample_id, cluster) / sum(n) OVER (PARTITION BY sample_id)::DOUBLE * sum(n) OVER (PARTITION BY sample_id, cell_type) AS expected FROM full_grid)
+SELECT sample_id, cell_type, CAST(cluster AS INTEGER) AS cluster, CAST(n AS DOUBLE) AS observed, round(expected, 6) AS expected, round(log2((n + 1e-9) / (expected + 1e-9)), 6) AS log2 FROM hoped""", C, P, X)
+def _(spark, sf):
+    return rounded(stats.enrichment_by_sample(at.cells(spark, sf), labels(spark, sf), at.cross_edges(spark, sf), CLUSTERS))
+
+
 def _permuted_sql(rows: str, key: str, value: str, n: int) -> str:
     """typed(perm, sample_id, key, value): perm 0 as it was, then ``n`` permutations by the hash of stats.deal_hash."""
     f, g, h, k = stats.FACTORS
@@ -927,6 +961,14 @@ def _(spark, sf):
     return rounded(structures.shape_features(own))
 
 
+@query("structure_features")
+def _(spark, sf):
+    # Signal patches of a sample make a structure; its mask is their cover, and every third is around it.
+    own = at.patches(spark, sf).where("ecm_cluster >= 0").withColumn("uid", F.concat(F.lit("s"), F.col("sample_id").cast("string")))
+    around = own.select("sample_id", "uid", F.col("patch_id").alias("id"), F.col("y").alias("row"), F.col("x").alias("col"), (F.col("patch_id") % 3 == 0).alias("is_peri"), F.col("f1").alias("value"))
+    return rounded(structures.structure_features(own.select("sample_id", "uid", F.col("grid_y").alias("y"), F.col("grid_x").alias("x")), around))
+
+
 @query("graph_communities")
 def _(spark, sf):
     return communities.communities(lattice(spark, sf))

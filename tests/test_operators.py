@@ -459,3 +459,36 @@ def test_dealt_counts_keep_labels(spark):
     share = [sum(r.n for r in rows if r.perm == p and r.value == "a") for p in range(1, 601)]
     assert len(set(share)) > 5 and abs(sum(share) / 600 / 60 - 16 / 40) < 0.02
     assert stats.dealt_counts(units.limit(0), weights, 10).count() == 0
+
+
+def test_eleven_structure_features(spark):
+    square = [(1, "a", y, x) for y in range(5, 15) for x in range(5, 15)]
+    # Four patches around its centre (9.5, 9.5), one a quarter turn; a fifth is not around it.
+    patches = [(1, "a", 1, 9.5, 20.0, True, 1.0), (1, "a", 2, 20.0, 9.5, True, 0.0), (1, "a", 3, 9.5, -1.0, True, 1.0), (1, "a", 4, -1.0, 9.5, True, 0.0), (1, "a", 5, 9.0, 9.0, False, 9.0), (2, "b", 1, 0.0, 0.0, True, 0.5)]
+    got = structures.structure_features(spark.createDataFrame(square + square[:3], "sample_id long, uid string, y int, x int"), spark.createDataFrame(patches, "sample_id long, uid string, id long, row double, col double, is_peri boolean, value double"))
+    a, b = (r.asDict() for r in got.orderBy("uid").collect())
+    assert a["log_area_norm"] == pytest.approx(np.log(101) / np.log(1e6 + 1)) and a["solidity"] == 1
+    assert a["circularity"] == pytest.approx(4 * np.pi * 100 / 36**2) and a["max_gap"] == pytest.approx(0.25)
+    assert (a["peri_coverage"], a["peri_frac"], a["n_components_norm"], a["largest_share"], a["degree_entropy"]) == (0.5, 0.8, 0.25, 1, pytest.approx(1))
+    assert a["gap_entropy"] == pytest.approx(-(4 / 18 * np.log2(4 / 18) + 14 / 18 * np.log2(14 / 18)))
+    assert a["assortativity"] == pytest.approx(np.corrcoef([1, 1, 1, 0, 0, 1], [0, 1, 0, 1, 0, 0])[0, 1])
+    assert (b["max_gap"], b["peri_frac"], b["n_components_norm"], b["largest_share"], b["solidity"], b["peri_coverage"]) == (1, 1, 1, 1, 0, 0.5)
+    # An L of three pixels of four: its hull holds all four.
+    corner = structures.region_shape(np.array([(0, 0), (1, 0), (1, 1)]))
+    assert corner[0] == 3 and corner[2] == 1
+
+
+def test_joint_graph_methods(spark):
+    from matrixweave.operators import joint
+
+    cells = spark.createDataFrame([(1, 1, 0.0, 0.0, "T"), (1, 2, 10.0, 0.0, "B"), (1, 3, 0.0, 10.0, None), (1, 4, None, None, "T")], "sample_id int, id long, x double, y double, label string")
+    patches = spark.createDataFrame([(1, 1, 1.0, 1.0, 0, 0, 5), (1, 2, 5.0, 1.0, 0, 1, 5), (1, 3, 1.0, 5.0, 1, 0, -1)], "sample_id int, id long, x double, y double, grid_y int, grid_x int, label int")
+    for cell, patch, cross, sizes in (("knn", "grid4", "radius", (2, 2, 1)), ("radius", "grid8", "knn", (3, 3, 3)), ("delaunay", "delaunay", "delaunay", (3, 3, None))):
+        nodes, edges = joint.joint_graph(cells, patches, cell, patch, cross, k=1, radius=8.0 if cross == "radius" else 30.0, scale=0.5) if cross == "radius" else joint.joint_graph(cells, patches, cell, patch, cross, k=1, radius=30.0)
+        assert nodes.count() == 7
+        count = {(r.src_type, r.dst_type): r["count"] for r in edges.groupBy("src_type", "dst_type").count().collect()}
+        for kinds, n in zip((("cell", "cell"), ("ecm", "ecm"), ("cell", "ecm")), sizes):
+            assert n is None or count.get(kinds, 0) >= n
+        assert edges.where("abs(weight * d - 1) > 1e-9 and d > 0").count() == 0
+    with pytest.raises(ValueError):
+        joint.edges_within(cells, "grid")
