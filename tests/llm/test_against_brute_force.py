@@ -135,7 +135,8 @@ def test_near_copies_with_a_passage_are_found(spark, edit):
     assert 30 < len(near) < 150 and found == near
 
 
-def test_large_groups_of_near_copies_are_exact(spark):
+@pytest.mark.parametrize("block", [near_copies.BLOCK, 40])
+def test_large_groups_of_near_copies_are_exact(spark, block):
     rng = random.Random(8)
     words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(3000)]
     texts, want = [], []
@@ -149,7 +150,7 @@ def test_large_groups_of_near_copies_are_exact(spark):
         sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts[first:]]
         want += [first + c for c in components(300, lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))]
     df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
-    got = {r.doc: r.group for r in near_copies.near_groups(df).collect()}
+    got = {r.doc: r.group for r in near_copies.near_groups(df, block=block).collect()}
     print("groups", [len({got[i] for i in range(s, s + 300)}) for s in (0, 300, 600)], "exact", [len(set(want[s : s + 300])) for s in (0, 300, 600)])
     assert [got[i] for i in range(900)] == want
 
