@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from matrixweave.operators.geometry import by_sample
@@ -71,3 +73,28 @@ def communities(edges: DataFrame, resolution: float = 1.0) -> DataFrame:
 
     own = edges.select(F.col("sample_id").cast("long").alias("sample_id"), "src", "dst", (F.col("weight") if "weight" in edges.columns else F.lit(1.0)).cast("double").alias("weight"))
     return by_sample(own, ["sample_id"], build, "sample_id long, id long, community int")
+
+
+def select_resolution(edges: DataFrame, spread: DataFrame, resolutions: list[float]) -> DataFrame:
+    """(sample_id, resolution, n, calinski_harabasz, best) of the communities of ``edges`` at each resolution.
+
+    ``spread(sample_id, id, z)`` has the features, as vectors.  The index is that of the nodes
+    with edges, null where there are fewer than two communities or none has two nodes; the best
+    resolution has the largest index, ties the lowest, and without any index the lowest is best.
+    """
+    from pyspark.ml.functions import vector_to_array
+
+    own = spread.select(F.col("sample_id").cast("long").alias("sample_id"), "id", F.posexplode(vector_to_array("z")).alias("k", "v"))
+    found = [communities(edges, r).withColumn("resolution", F.lit(float(r))) for r in resolutions]
+    long = functools.reduce(DataFrame.unionByName, found).join(own, ["sample_id", "id"])
+    by = ["sample_id", "resolution"]
+    sums = long.groupBy(*by, "community", "k").agg(F.count("*").alias("n"), F.sum("v").alias("s"), F.sum(F.col("v") ** 2).alias("q"))
+    all_ = Window.partitionBy(*by, "k")
+    parts = sums.withColumn("_m", F.sum("s").over(all_) / F.sum("n").over(all_))
+    out = parts.groupBy(*by).agg(
+        F.sum(F.col("n") * (F.col("s") / F.col("n") - F.col("_m")) ** 2).alias("_b"), F.sum(F.col("q") - F.col("s") ** 2 / F.col("n")).alias("_w"), F.countDistinct("community").alias("n"), (F.sum("n") / F.countDistinct("k")).alias("_n")
+    )
+    index = F.when((F.col("n") > 1) & (F.col("_n") > F.col("n")) & (F.col("_w") > 0), F.col("_b") / (F.col("n") - 1) / (F.col("_w") / (F.col("_n") - F.col("n"))))
+    out = out.select(*by, "n", index.alias("calinski_harabasz"))
+    order = Window.partitionBy("sample_id").orderBy(F.desc_nulls_last(F.round("calinski_harabasz", 9)), "resolution")
+    return out.withColumn("best", F.row_number().over(order) == 1)

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from matrixweave.functions import edges as edge_functions
 from matrixweave.functions import scale
-from matrixweave.operators import cluster, cohort, communities, denoise, filters, geometry, graph, joint, nn, patches, skeleton, spatial, stats, structures, thresholds
+from matrixweave.operators import checks, cluster, cohort, communities, denoise, extractors, filters, frames, geometry, graph, joint, nn, patches, skeleton, spatial, stats, structures, thresholds, tiled
 from matrixweave.plans import adapters as at
-from matrixweave.sources import images, sinks, tables
+from matrixweave.sources import hetero, images, sinks, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1104,3 +1104,94 @@ def _(spark, sf):
 @query("pooled_centres", "SELECT ecm_cluster, count(*) AS n, round(avg(f0), 6) AS f0, round(avg(f1), 6) AS f1, round(count(*) / sum(count(*)) OVER ()::DOUBLE, 6) AS share FROM patches WHERE ecm_cluster >= 0 GROUP BY 1", P)
 def _(spark, sf):
     return rounded(cohort.pooled_centres(at.patches(spark, sf), ["f0", "f1"]))
+
+
+# Joint graphs by relation, checks, and the tables behind figures.
+
+JOINT_SQL = ORACLE_SQL["joint_graph_edges"].split("WITH RECURSIVE ", 1)[1].rsplit("SELECT CAST(sample_id AS BIGINT)", 1)[0].rstrip()
+
+
+@query("hetero_relations", f"""numbered AS (SELECT sample_id, kind, id, row_number() OVER (PARTITION BY sample_id, kind ORDER BY id) - 1 AS node FROM spots),
+ways AS (SELECT sample_id, src_type AS f, src AS a, dst_type AS t, dst AS b, d FROM long UNION ALL SELECT sample_id, dst_type, dst, src_type, src, d FROM long)
+SELECT CAST(w.sample_id AS BIGINT) AS sample_id, f || '-' || t AS relation, m.node AS source, n.node AS target, round(d, 6) AS d, round(CASE WHEN d > 0 THEN 1 / d ELSE 0.0 END, 6) AS weight
+FROM ways w JOIN numbered m ON m.sample_id = w.sample_id AND m.kind = f AND m.id = a JOIN numbered n ON n.sample_id = w.sample_id AND n.kind = t AND n.id = b""", JOINT_SQL)
+def _(spark, sf):
+    return rounded(hetero.hetero_tables(*_joint(spark, sf))[1])
+
+
+@query("graph_changes", """eight AS (SELECT * FROM grid_edges),
+four AS (SELECT a.sample_id, least(a.patch_id, b.patch_id) AS src, greatest(a.patch_id, b.patch_id) AS dst FROM patches a JOIN patches b ON a.sample_id = b.sample_id AND (b.grid_y - a.grid_y, b.grid_x - a.grid_x) IN ((0, 1), (1, 0)))
+SELECT coalesce(e.sample_id, f.sample_id) AS sample_id, count(*) FILTER (WHERE f.src IS NULL) AS added, count(*) FILTER (WHERE e.src IS NULL) AS gone, count(*) FILTER (WHERE f.src IS NOT NULL AND e.src IS NOT NULL) AS kept
+FROM eight e FULL JOIN four f ON e.sample_id = f.sample_id AND e.src = f.src AND e.dst = f.dst GROUP BY 1""", P, LATTICE_SQL)
+def _(spark, sf):
+    own = at.patches(spark, sf)
+    return frames.graph_changes(spatial.grid_edges(own, 8), spatial.grid_edges(own, 4))
+
+
+@query("mask_at", """edge AS (SELECT sample_id, max(y) AS h, max(x) AS w FROM pixels GROUP BY sample_id),
+spots AS (SELECT p.sample_id, patch_id AS id, p.x * 1.5 - 20 AS x, p.y * 1.5 - 20 AS y FROM patches p),
+cut AS (SELECT s.*, least(greatest(CAST(trunc(s.y) AS INTEGER), 0), h) AS cy, least(greatest(CAST(trunc(s.x) AS INTEGER), 0), w) AS cx FROM spots s LEFT JOIN edge e ON e.sample_id = s.sample_id)
+SELECT c.sample_id, c.id, c.x, c.y, m.v AS value FROM cut c LEFT JOIN pixels m ON m.sample_id = c.sample_id AND m.y = cy AND m.x = cx""", P, PX)
+def _(spark, sf):
+    spots = at.patches(spark, sf).select("sample_id", F.col("patch_id").alias("id"), (F.col("x") * 1.5 - 20).alias("x"), (F.col("y") * 1.5 - 20).alias("y"))
+    return frames.mask_at(spots, at.pixels(spark, sf))
+
+
+@query("cohort_facts", """SELECT (SELECT count(DISTINCT grp) FROM samples WHERE sample_id IN (SELECT sample_id FROM cells)) AS n_groups, (SELECT count(DISTINCT sample_id) FROM samples WHERE sample_id IN (SELECT sample_id FROM cells)) AS n_samples,
+  (SELECT count(*) FROM cells) AS n_cells, (SELECT count(DISTINCT cell_type) FROM cells) AS n_types, (SELECT count(*) FROM patches) AS n_patches, (SELECT round(avg(CASE WHEN ecm_cluster < 0 THEN 1.0 ELSE 0.0 END), 6) FROM patches) AS background""", C, P, S)
+def _(spark, sf):
+    return rounded(frames.facts(at.cells(spark, sf), at.patches(spark, sf), at.samples(spark, sf)))
+
+
+@query("metric_bars", """SELECT sample_id AS model, CAST(row_number() OVER (ORDER BY min(id), sample_id) AS INTEGER) AS rank, round(avg(score), 6) AS mean, round(coalesce(stddev_samp(score), 0.0), 6) AS sd, count(score) AS n FROM truth GROUP BY sample_id""", T)
+def _(spark, sf):
+    return rounded(frames.bars(at.truth(spark, sf).select(F.col("sample_id").alias("model"), "id", "score"), metric="score", order="id"))
+
+
+#: A matrix of cell types by sample, for the heat map.
+MATRIX_SQL = "matrix AS (SELECT cell_type, sample_id AS cluster, avg(marker) / 1000 AS log2, avg(CASE WHEN marker < 0 THEN 0.5 ELSE 0.0 END) AS p_fdr FROM cells GROUP BY 1, 2)"
+
+
+@query("heat_map", """ordered AS (SELECT cell_type, CAST(row_number() OVER (ORDER BY max(log2) FILTER (WHERE cluster = 1) DESC NULLS LAST, cell_type) AS INTEGER) AS "row" FROM matrix GROUP BY 1)
+SELECT cell_type, cluster, "row", round(least(greatest(log2, -4.0), 4.0), 6) AS shown, CASE WHEN p_fdr < 0.001 THEN '***' WHEN p_fdr < 0.01 THEN '**' WHEN p_fdr < 0.05 THEN '*' ELSE '' END AS mark FROM matrix JOIN ordered USING (cell_type)""", C, MATRIX_SQL)
+def _(spark, sf):
+    matrix = at.cells(spark, sf).groupBy("cell_type", F.col("sample_id").alias("cluster")).agg((F.avg("marker") / 1000).alias("log2"), F.avg(F.when(F.col("marker") < 0, 0.5).otherwise(0.0)).alias("p_fdr"))
+    return rounded(frames.heat_map(matrix, 1))
+
+
+ROI_SQL = ORACLE_SQL["enrichment_by_sample"].split("WITH RECURSIVE ", 1)[1].rsplit("SELECT sample_id, cell_type, CAST(cluster AS INTEGER)", 1)[0].rstrip()
+
+
+@query("enrichment_by_roi", "SELECT sample_id, " + ", ".join(f"max(CASE WHEN cluster = {k} THEN round(log2((n + 1e-9) / (expected + 1e-9)), 6) END) AS c{k}" for k in range(CLUSTERS)) + " FROM hoped WHERE cell_type = 'BUILDING' GROUP BY sample_id", ROI_SQL)
+def _(spark, sf):
+    return rounded(frames.by_roi(stats.enrichment_by_sample(at.cells(spark, sf), labels(spark, sf), at.cross_edges(spark, sf), CLUSTERS), "BUILDING", CLUSTERS))
+
+
+@query("split_report", """folds AS (SELECT cell_id AS graph, cell_type AS label, sample_id AS grp, CASE WHEN cell_id % 97 = 0 THEN 0 ELSE sample_id % 3 END AS fold FROM cells),
+full_grid AS (SELECT f.fold, l.label, l.t, coalesce(n, 0) AS n FROM (SELECT DISTINCT fold FROM folds) f CROSS JOIN (SELECT label, count(*) AS t FROM folds GROUP BY 1) l LEFT JOIN (SELECT fold, label, count(*) AS n FROM folds GROUP BY 1, 2) q ON q.fold = f.fold AND q.label = l.label),
+sides AS (SELECT fold, sum(n)::BIGINT AS n_test, sum(t - n)::BIGINT AS n_train, count(*) FILTER (WHERE n > 0) AS test_classes, count(*) FILTER (WHERE t > n) AS train_classes, count(*) AS k FROM full_grid GROUP BY 1),
+shared AS (SELECT fold, count(DISTINCT grp) AS g FROM folds WHERE grp IN (SELECT grp FROM folds GROUP BY grp HAVING count(DISTINCT fold) > 1) GROUP BY 1)
+SELECT s.fold, n_test, n_train, test_classes, train_classes, coalesce(g, 0) AS shared_groups, test_classes = k AND train_classes = k AND coalesce(g, 0) = 0 AS fine FROM sides s LEFT JOIN shared h ON s.fold = h.fold""", C)
+def _(spark, sf):
+    folds = at.cells(spark, sf).select(F.col("cell_id").alias("graph"), F.col("cell_type").alias("label"), F.col("sample_id").alias("grp"), F.when(F.col("cell_id") % 97 == 0, 0).otherwise(F.col("sample_id") % 3).alias("fold"))
+    return checks.split_report(folds)
+
+
+@query("extract_named", """SELECT sample_id, channel, "by", bx, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, round(max(v), 6) AS max, round(avg(CASE WHEN v > mu THEN 1.0 ELSE 0.0 END), 6) AS signal_fraction, round(max(v) - min(v), 6) AS spread, round(max(v) * 2, 6) AS twice
+FROM (SELECT *, avg(v) OVER (PARTITION BY sample_id, channel, "by", bx) AS mu FROM blocks) q GROUP BY 1, 2, 3, 4""", PX, BLOCKS_SQL)
+def _(spark, sf):
+    spread = lambda rows: rows.groupBy(*patches.BLOCK).agg((F.max("v") - F.min("v")).alias("spread"))
+    return rounded(extractors.extract(block_rows(spark, sf), ["moments", spread, extractors.of_array("twice", lambda image: 2 * image.max())]))
+
+
+@query("segment_tiled")
+def _(spark, sf):
+    return rounded(tiled.segment_tiled(at.pixels(spark, sf), 40, 10, "triangle", 3))
+
+
+@query("community_resolution")
+def _(spark, sf):
+    own = at.patches(spark, sf).where("ecm_cluster >= 0").select("sample_id", F.col("patch_id").alias("id"), "f0", "f1")
+    spread = cluster.standardised(own, ["f0", "f1"])
+    near = spatial.knn_edges(own.select("sample_id", "id", (F.col("f0") / 100).alias("x"), F.col("f1").alias("y")), 15)
+    return rounded(communities.select_resolution(near, spread, [0.5, 1.0, 2.0]))

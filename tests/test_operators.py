@@ -492,3 +492,67 @@ def test_joint_graph_methods(spark):
         assert edges.where("abs(weight * d - 1) > 1e-9 and d > 0").count() == 0
     with pytest.raises(ValueError):
         joint.edges_within(cells, "grid")
+
+
+def test_tiles_find_the_regions_of_the_whole_image(spark):
+    from matrixweave.operators import tiled
+
+    want = [(y + 2.0, x + 1.5, 20) for y in range(3, 90, 13) for x in range(1, 90, 11)]
+    lit = {(int(y) - 2 + i, int(x - 1.5) + j) for y, x, _ in want for i in range(5) for j in range(4)}
+    rows = [(0, 0, y, x, 9.0 if (y, x) in lit else 1.0) for y in range(100) for x in range(100)]
+    got = tiled.segment_tiled(spark.createDataFrame(rows, "sample_id int, channel int, y int, x int, v double"), 30, 8, "otsu", 5, 0.5).collect()
+    assert sorted((r.y, r.x, r.area) for r in got) == sorted(want)
+    assert all((r.y_um, r.x_um) == (r.y / 2, r.x / 2) for r in got) and len({(r.ty, r.tx) for r in got}) > 4
+
+
+def test_checks(spark):
+    from matrixweave.operators import checks
+
+    points = spark.createDataFrame([(0, 1, 0.0, 1.0, True), (0, 2, float("nan"), None, None)], "sample_id int, id long, x double, y double, own boolean")
+    assert checks.finite_positions(points.limit(0)) is not None
+    with pytest.raises(ValueError, match="1 of x, 1 of y"):
+        checks.finite_positions(points)
+    assert checks.sources(points.where("id = 1"), "own").count() == 1
+    with pytest.raises(Exception, match="own has a null"):
+        checks.sources(points, "own").collect()
+    edges = spark.createDataFrame([(0, 1, 2, 0.0), (0, 2, 1, 2.0)], "sample_id int, src long, dst long, weight double")
+    assert [r.weight for r in checks.adjacency(edges, points).collect()] == [2.0]
+    for bad in (edges.withColumn("weight", -F.col("weight")), edges.withColumn("dst", F.lit(9))):
+        with pytest.raises(ValueError):
+            checks.adjacency(bad, points)
+    assert checks.value_of({"a": points, "b": edges}, "x").columns == ["sample_id", "id", "value"]
+    for name, source in (("sample_id", None), ("none", None), ("x", "c")):
+        with pytest.raises(ValueError):
+            checks.value_of({"a": points, "b": edges}, name, source)
+    folds = [(i, i % 2, i // 2, i // 2 % 2) for i in range(8)]
+    schema = "graph int, label int, grp int, fold int"
+    assert checks.valid_splits(spark.createDataFrame(folds, schema)).count() == 8
+    for bad in (folds + folds[:1], [(g, y, 0, f) for g, y, _, f in folds], [(g, f, p, f) for g, _, p, f in folds], [(g, y, p, 0) for g, y, p, _ in folds]):
+        with pytest.raises(ValueError):
+            checks.valid_splits(spark.createDataFrame(bad, schema))
+    with pytest.raises(ValueError):
+        checks.cap_of("delaunay", 3.0)
+
+
+def test_attached_patches_and_names(spark):
+    from matrixweave.operators import extractors, frames
+
+    cells, edges = spark.createDataFrame([(0, 1), (1, 1)], "sample_id int, id long"), spark.createDataFrame([("cell", "cell"), ("cell", "ecm"), ("ecm", "ecm")], "src_type string, dst_type string")
+    assert frames.attach_patches(cells, cells, edges)[1].collect() == [("cell", "cell")]
+    with pytest.raises(ValueError, match="one side only: 1"):
+        frames.attach_patches(cells, cells.limit(0).union(cells.where("sample_id = 0")), edges)
+    names = spark.createDataFrame([("ecm_12",), ("ecm",), (None,)], "n string").select(frames.node_number("n").alias("k"))
+    assert [r.k for r in names.collect()] == [12, None, None]
+    assert frames.empty_cells(spark, ["a b"]).count() == 0
+    with pytest.raises(ValueError, match="not nothing"):
+        extractors.resolve(["nothing"])
+
+
+def test_resolution_with_the_largest_index(spark):
+    from matrixweave.operators import cluster, communities
+
+    rows = [(0, g * 10 + i, float(g * 100 + i % 3), float(g * 50 + i % 2)) for g in range(3) for i in range(10)]
+    spread = cluster.standardised(spark.createDataFrame(rows, "sample_id int, id long, a double, b double"), ["a", "b"])
+    links = [(0, g * 10 + i, g * 10 + j) for g in range(3) for i in range(10) for j in range(i)]
+    got = communities.select_resolution(spark.createDataFrame(links, "sample_id int, src long, dst long"), spread, [0.01, 1.0, 8.0]).collect()
+    assert len(got) == 3 and [r.n for r in got if r.best] == [3]
