@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
+from matrixweave.plans.ranges import from_on, in_ranges, ranges_after, with_running_sums
+from matrixweave.plans.scratch import written
+
 
 def min_max(v: str, *by: str) -> Column:
     """(v - min) / (max - min); 0 where all are equal."""
@@ -28,7 +31,11 @@ def arcsinh_clip(v: str, *by: str, cofactor: float = 1.0, share: float = 0.995)
 
 
 def benjamini_hochberg(df, p: str, *by: str):
-    """``df`` with p_fdr: p * n / rank, made non-decreasing in p, at most 1; tied p share a value, null p stay null."""
+    """``df`` with p_fdr: p * n / rank, made non-decreasing in p, at most 1; tied p share a value, null p stay null.
+
+    A group of ``by``, or all rows without it, are ordered in one task: for tables as small as
+    their parameters.  ``benjamini_hochberg_ranged`` takes any number of rows.
+    """
     rank = F.max("_rank").over(Window.partitionBy(*by, p)) if by else F.max("_rank").over(Window.partitionBy(p))
     valid = F.col(p).isNotNull()
     part = Window.partitionBy(*by, valid)
@@ -39,3 +46,14 @@ def benjamini_hochberg(df, p: str, *by: str):
     low = F.when(valid, F.least(low, F.lit(1.0)))
     out = out.withColumn("_low", low)
     return out.withColumn("p_fdr", F.min("_low").over(Window.partitionBy(*by, p))).drop("_rank", "_n", "_low")
+
+
+def benjamini_hochberg_ranged(df, p: str):
+    """``benjamini_hochberg`` of all rows, by ranges of the distinct p: no task orders them all."""
+    own = df.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("_p")).agg(F.count("*").alias("_n"))
+    ranked = with_running_sums(in_ranges(own, "_p", "p-values"), "_p", _rank=F.col("_n"))
+    ranked = written(ranked.select("_part", "_p", (F.col("_p") * F.col("_rank_all") / F.col("_rank")).alias("_raw")), "p-ranked")
+    after = ranked.groupBy("_part").agg(F.min("_raw").alias("_least")).select("_part", F.min("_least").over(ranges_after()).alias("_after"))
+    low = F.least(F.min("_raw").over(from_on("_p")), F.col("_after"), F.lit(1.0))
+    found = ranked.join(F.broadcast(after), "_part").select("_p", low.alias("p_fdr"))
+    return df.join(found, df[p] == found["_p"], "left").drop(found["_p"])

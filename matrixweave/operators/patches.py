@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matrixweave.operators.spatial import range_join, symmetric
+from matrixweave.plans.ranges import in_ranges, with_running_sums
 
 LEVELS, BINS = 16, 32
 #: Steps to the next pixel at 0, 45, 90 and 135 degrees.
@@ -84,13 +85,11 @@ def two_means(values: DataFrame, v: str = "v") -> DataFrame:
     """(threshold): midway between the two means that split the positive values with least squared error; infinite without any.
 
     Values are counted first, so that equal ones are one row; the split is read off
-    running sums.
+    running sums over ranges of values.
     """
     own = values.where(F.col(v) > 0).groupBy(F.col(v).alias("v")).agg(F.count("*").alias("n"))
-    up = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    s = own.withColumns({"_n": F.sum("n").over(up), "_s": F.sum(F.col("n") * F.col("v")).over(up)})
-    total = s.agg(F.max("_n").alias("_all"), F.max_by("_s", "v").alias("_whole"))
-    s = s.crossJoin(F.broadcast(total))
+    s = with_running_sums(in_ranges(own, "v", "two-means"), "v", _n=F.col("n"), _s=F.col("n") * F.col("v"))
+    s = s.withColumnsRenamed({"_n_all": "_all", "_s_all": "_whole"})
     rest = F.col("_all") - F.col("_n")
     gain = F.col("_s") ** 2 / F.col("_n") + F.when(rest > 0, (F.col("_whole") - F.col("_s")) ** 2 / F.nullif(rest, F.lit(0))).otherwise(0.0)
     middle = F.when(rest > 0, (F.col("_s") / F.col("_n") + (F.col("_whole") - F.col("_s")) / F.nullif(rest, F.lit(0))) / 2).otherwise(F.col("_s") / F.col("_n"))

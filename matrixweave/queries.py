@@ -467,7 +467,7 @@ ranked AS (SELECT *, max(r0) OVER (PARTITION BY p) AS r, count(*) OVER () AS k F
 SELECT id, p, round(least(1.0, min(p * k / r) OVER (ORDER BY p DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), 6) AS p_fdr FROM ranked""", C)
 def _(spark, sf):
     p = at.cells(spark, sf).select(F.col("cell_id").alias("id"), ((F.col("cell_id") * 7919 % 1000 + 1) / 1000.0).alias("p"))
-    return rounded(scale.benjamini_hochberg(p, "p"))
+    return rounded(scale.benjamini_hochberg_ranged(p, "p"))
 
 
 @query("centroid_table", f"""own AS (SELECT ecm_cluster AS cluster, unnest(['f0', 'f1']) AS marker, unnest([f0, f1]) AS v FROM patches WHERE ecm_cluster BETWEEN 0 AND {CLUSTERS - 1}),

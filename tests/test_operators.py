@@ -98,6 +98,41 @@ def test_benjamini_hochberg(spark):
     assert [got[i] for i in range(5)] == pytest.approx([0.05, 0.05, 0.05, 0.05, 0.5])
 
 
+def test_benjamini_hochberg_by_ranges(spark):
+    rng = np.random.default_rng(4)
+    p = [*np.round(rng.random(3000) ** 3, 4).tolist(), *[0.25] * 1500, None, None, 0.0, 1.0]
+    df = spark.createDataFrame(list(enumerate(p)), "i int, p double")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several ranges
+    try:
+        got, want = ({r.i: r.p_fdr for r in f(df, "p").collect()} for f in (scale.benjamini_hochberg_ranged, scale.benjamini_hochberg))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(got) == len(p) and got[4500] is None and got == pytest.approx(want)
+    order = sorted(x for x in p if x is not None)
+    low, plain = 1.0, {}
+    for k in range(len(order), 0, -1):
+        low = min(low, order[k - 1] * len(order) / k)
+        plain[order[k - 1]] = low
+    assert all(got[i] == pytest.approx(plain[x]) for i, x in enumerate(p) if x is not None)
+    assert scale.benjamini_hochberg_ranged(df.limit(0), "p").count() == 0
+    assert [r.p_fdr for r in scale.benjamini_hochberg_ranged(df.where("p IS NULL"), "p").collect()] == [None, None]
+
+
+def test_ranges_are_in_order(spark):
+    from matrixweave.plans import ranges
+
+    df = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("k"), F.lit(2).alias("n"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        dealt = ranges.in_ranges(df, "k", "test")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    bounds = dealt.groupBy("_part").agg(F.min("k").alias("a"), F.max("k").alias("b")).orderBy("_part").collect()
+    assert len(bounds) > 1 and all(x.b < y.a for x, y in zip(bounds, bounds[1:]))
+    summed = ranges.with_running_sums(dealt, "k", s=F.col("n")).collect()
+    assert all(r.s == 2 * (r.k + 1) and r.s_all == 10000 for r in summed)
+
+
 def test_partition_scores(spark):
     of = lambda a, b: stats.partition_scores(spark.createDataFrame(list(zip(a, b)), "label int, truth int")).first()
     truth = [0, 0, 0, 0, 1, 1]
@@ -173,6 +208,13 @@ def test_two_means_and_thresholds(spark):
     df = spark.createDataFrame([(0, 0, i, 0, float(x)) for i, x in enumerate(v)], "sample_id int, channel int, y int, x int, v double")
     assert patches.two_means(df).first()[0] == pytest.approx(20, abs=0.5)
     assert patches.two_means(df.where("v = 0")).first()[0] == float("inf")
+    own = np.sort(v[v > 0])
+    cut = min(range(1, len(own)), key=lambda k: own[:k].var() * k + own[k:].var() * (len(own) - k))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several ranges
+    try:
+        assert patches.two_means(df).first()[0] == pytest.approx((own[:cut].mean() + own[cut:].mean()) / 2)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     for method in ("otsu", "li", "yen"):
         assert 11 < thresholds.thresholds(df, method).first().threshold < 29
     assert thresholds.thresholds(df.limit(5)).count() == 0
