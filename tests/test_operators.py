@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from matrixweave.functions import edges as edge_functions
 from matrixweave.functions import scale
 from matrixweave.operators import cluster, geometry, graph, patches, skeleton, spatial, stats, structures, thresholds
+from matrixweave.plans.scratch import written
 from matrixweave.sources import images, sinks, tables
 
 
@@ -598,3 +599,12 @@ def test_resolution_with_the_largest_index(spark):
     links = [(0, g * 10 + i, g * 10 + j) for g in range(3) for i in range(10) for j in range(i)]
     got = communities.select_resolution(spark.createDataFrame(links, "sample_id int, src long, dst long"), spread, [0.01, 1.0, 8.0]).collect()
     assert len(got) == 3 and [r.n for r in got if r.best] == [3]
+
+
+def broadcasts(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange")
+
+
+def test_radius_joins_send_no_multiplied_rows_to_the_driver(spark):
+    p = written(points(spark, [(0, 0), (3, 0), (0, 30)]), "small")  # files, whose size Spark knows
+    assert broadcasts(spatial.range_join(p, p, 5.0)) == 0
