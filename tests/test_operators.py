@@ -608,3 +608,10 @@ def broadcasts(df):
 def test_radius_joins_send_no_multiplied_rows_to_the_driver(spark):
     p = written(points(spark, [(0, 0), (3, 0), (0, 30)]), "small")  # files, whose size Spark knows
     assert broadcasts(spatial.range_join(p, p, 5.0)) == 0
+
+
+def test_lattice_and_adopted_edges_send_no_large_table_to_the_driver(spark):
+    p = written(points(spark, [(0, 0), (1, 0)]), "small")
+    lattice = p.select("sample_id", F.col("id").alias("patch_id"), F.col("x").cast("int").alias("grid_x"), F.col("y").cast("int").alias("grid_y"))
+    pairs = spatial.grid_edges(lattice)
+    assert broadcasts(pairs) == broadcasts(spatial.adopt_adjacency(pairs, p)) == 0
