@@ -615,3 +615,11 @@ def test_lattice_and_adopted_edges_send_no_large_table_to_the_driver(spark):
     lattice = p.select("sample_id", F.col("id").alias("patch_id"), F.col("x").cast("int").alias("grid_x"), F.col("y").cast("int").alias("grid_y"))
     pairs = spatial.grid_edges(lattice)
     assert broadcasts(pairs) == broadcasts(spatial.adopt_adjacency(pairs, p)) == 0
+
+
+def test_enrichment_broadcasts_neither_cells_nor_patches(spark):
+    cells = written(points(spark, [(0, 0), (1, 0)]).select("sample_id", F.col("id").alias("cell_id"), F.lit("a").alias("cell_type")), "small")
+    labels = written(points(spark, [(0, 0), (1, 0)]).select("sample_id", "id", F.lit(0).alias("label")), "small")
+    met = written(edges(spark, [(0, 0), (1, 1)]), "small")
+    plan = stats.enrichment(cells, labels, met, 2)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") >= 2
