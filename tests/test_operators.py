@@ -623,3 +623,12 @@ def test_enrichment_broadcasts_neither_cells_nor_patches(spark):
     met = written(edges(spark, [(0, 0), (1, 1)]), "small")
     plan = stats.enrichment(cells, labels, met, 2)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("SortMergeJoin") >= 2
+
+
+def test_window_means_sum_a_place_once_and_leave_nulls_out(spark):
+    cells = spark.createDataFrame([(0, 1, 1.5, 1.2), (0, 2, 1.0, 1.9), (0, 2, 9.0, 9.0), (0, 3, 50.0, 50.0)], "sample_id int, cell_id long, y double, x double")
+    pixels = spark.createDataFrame([(0, 0, y, x, None if y == x == 0 else float(y)) for y in range(3) for x in range(3)], "sample_id int, channel int, y int, x int, v double")
+    cells, pixels = written(cells, "small"), written(pixels, "small")
+    found = patches.window_means(cells, pixels, 1)
+    assert "SortMergeJoin" in found._jdf.queryExecution().executedPlan().toString()
+    assert {r.cell_id: r["mean"] for r in found.collect()} == {1: 9 / 8, 2: 9 / 8}
