@@ -18,7 +18,7 @@ def hetero_tables(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFr
     both = edges.select("sample_id", F.explode(F.array(way("src", "dst"), way("dst", "src"))).alias("e"), "d", "weight").select("sample_id", "e.*", "d", "weight")
     ids = numbered.select("sample_id", "node_type", "id", "node")
     for kind, end, name in (("from", "a", "source"), ("to", "b", "target")):
-        both = both.join(ids.select("sample_id", F.col("node_type").alias(kind), F.col("id").alias(end), F.col("node").alias(name)), ["sample_id", kind, end])
+        both = both.join(ids.select("sample_id", F.col("node_type").alias(kind), F.col("id").alias(end), F.col("node").alias(name)).hint("merge"), ["sample_id", kind, end])
     return numbered, both.select("sample_id", F.concat_ws("-", "from", "to").alias("relation"), "source", "target", "d", "weight")
 
 

@@ -632,3 +632,22 @@ def test_window_means_sum_a_place_once_and_leave_nulls_out(spark):
     found = patches.window_means(cells, pixels, 1)
     assert "SortMergeJoin" in found._jdf.queryExecution().executedPlan().toString()
     assert {r.cell_id: r["mean"] for r in found.collect()} == {1: 9 / 8, 2: 9 / 8}
+
+
+def test_path_lengths_of_a_dense_ring_in_several_tasks(spark):
+    n, reach = 1500, 60
+    pairs = [(i, (i + k) % n) for i in range(n) for k in range(1, reach + 1)]
+    nodes = spark.createDataFrame([(0, i, 0) for i in range(n)], "sample_id int, id long, component long")
+    row = geometry.path_lengths(nodes, edges(spark, pairs), sources=400).first()
+    steps = [-(-min(k, n - k) // reach) for k in range(1, n)]
+    mean = sum(steps) / (n - 1)
+    assert (row.n_nodes, row.diameter) == (n, max(steps))
+    assert np.allclose([row.mean_path, row.closeness, row.betweenness], [mean, 1 / mean, (mean - 1) / (n - 2)])
+
+
+def test_fiedler_value_needs_no_paths(spark, monkeypatch):
+    monkeypatch.setattr(geometry, "distance_sums", None)
+    nodes = spark.createDataFrame([(0, i, 0) for i in range(6)], "sample_id int, id long, component long")
+    got = geometry.fiedler_values(nodes, edges(spark, [(i, i + 1) for i in range(5)])).collect()
+    assert [round(r.fiedler, 9) for r in got] == [round(2 - 2 * np.cos(np.pi / 6), 9)]
+    assert geometry.fiedler_values(nodes, edges(spark, [(i, i + 1) for i in range(5)]), most=5).isEmpty()
