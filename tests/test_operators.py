@@ -651,3 +651,23 @@ def test_fiedler_value_needs_no_paths(spark, monkeypatch):
     got = geometry.fiedler_values(nodes, edges(spark, [(i, i + 1) for i in range(5)])).collect()
     assert [round(r.fiedler, 9) for r in got] == [round(2 - 2 * np.cos(np.pi / 6), 9)]
     assert geometry.fiedler_values(nodes, edges(spark, [(i, i + 1) for i in range(5)]), most=5).isEmpty()
+
+
+def test_kinds_of_nodes_give_the_network_of_all_nodes():
+    from matrixweave.operators.nn import Kinds, Means, Network
+
+    n = 600
+    x = np.eye(3)[np.arange(n) // 2 % 3]
+    src, dst = np.concatenate([np.arange(n - 1), np.arange(1, n)]), np.concatenate([np.arange(1, n), np.arange(n - 1)])
+    kinds, means, net = Kinds(x, src, dst), Means(n, src, dst), Network(3, 2, 4, seed=1)
+    assert kinds.n < 20 and len(kinds.x) == 3
+    z, kept = net.forward(x, means)
+    few, short = net.forward(kinds.x, kinds)
+    assert np.allclose(few[kinds.of], z)
+    g = np.random.default_rng(0).normal(size=z.shape)
+    grads, into = net.backward(g, kept, means)
+    own, shared = net.backward(np.stack([np.bincount(kinds.of, g[:, c], kinds.n) for c in range(2)], axis=1), short, kinds)
+    assert all(np.allclose(grads[k], own[k]) for k in grads)
+    assert np.allclose(shared, [into[(x == row).all(axis=1)].sum(axis=0) for row in kinds.x])
+    alone = Kinds(x[:1], np.zeros(0, int), np.zeros(0, int))
+    assert np.allclose(net.forward(alone.x, alone)[0], net.forward(x[:1], Means(1, np.zeros(0, int), np.zeros(0, int)))[0])
