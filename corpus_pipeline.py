@@ -47,6 +47,8 @@ def first_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def single_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """SimHash near-dedup (10): the rows of the smallest doc_id of each group stay.
 
+    Links are those of operator 10, by multi-index hashing of 64-bit fingerprints, that an exact
+    check of shingles confirms, and those that its two bits miss, found by minima of hashes.
     Texts without a word, null ones included, are copies of each other.  Rows that repeat
     a doc_id are one document and stay or go together; rows without doc_id stay.
     """

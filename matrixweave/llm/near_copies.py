@@ -7,6 +7,11 @@ each value with probability s ** MINIMA, whatever the edit is that parts them an
 wherever it lies: at 0.8 a pair agrees in none of 25 values twice in a million.
 Unrelated texts hardly ever meet.
 
+Before that come the links of operator 10: fingerprints of 64 bits within two bits, found by
+multi-index hashing.  As they also join short texts that differ much, the exact share of
+shingles decides each of them.  A pair at the similarity differs in more bits as a rule, so
+the values are looked up besides.
+
 What meets at one value is compared by a SimHash of 512 bits of the shingles.  The
 fingerprints agree in the angle with cosine 2s / (1 + s), so at 0.8 they differ in 77.6
 of 512 bits on average, with a deviation of 8.1.  Texts within ``SURE_BITS``, over four
@@ -35,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matrixweave.llm.common import carried, claim, connected_components, gram_hashes, mixed, pieces_of, released, small_batches, stash, tidy
-from matrixweave.llm.simhash import majority
+from matrixweave.llm.simhash import fingerprints64, links2, majority
 from matrixweave.llm.string_tiling import word_hashes
 
 WORDS, SIMILARITY = 5, 0.8
@@ -347,6 +352,23 @@ def joined_in_cells(rows: DataFrame, edges: DataFrame, groups: DataFrame, sets:
     return edges, connected_components(edges)
 
 
+def simhash_links(docs: DataFrame, own: DataFrame, words: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """(u, v) of the nodes of ``own(doc, node)`` that operator 10 links and whose texts share ``similarity`` of their shingles.
+
+    Texts of one fingerprint are compared with the smallest node of it, and linked
+    fingerprints by their smallest; what is not so joined is left to the values.
+    """
+    prints = fingerprints64(docs.where(F.col(id_col).isNotNull()), id_col=id_col, text_col=text_col).withColumnRenamed("doc_id", "doc")
+    prints = stash(prints.join(own, "doc").select("node", "fp").distinct(), "near-simhash")
+    least = stash(prints.groupBy("fp").agg(F.min("node").alias("least")), "near-simhash-least")
+    same = prints.join(least, "fp").where("node <> least").select(F.col("least").alias("u"), F.col("node").alias("v"))
+    met = links2(least.select("fp"))
+    for end in ("u", "v"):
+        met = met.join(least.select(F.col("fp").alias(end), F.col("least").alias(f"{end}_")), end)
+    met = met.select(F.least("u_", "v_").alias("u"), F.greatest("u_", "v_").alias("v")).where("u <> v")
+    return similar(stash(same.unionByName(met).distinct(), "near-simhash-met"), docs, words, similarity, id_col, text_col)
+
+
 def near_groups(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, sure: int = SURE_BITS, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """(doc, group) of each doc_id; group is the smallest doc_id of the near copies that it is linked to, itself included.
 
@@ -365,7 +387,8 @@ def near_groups(docs: DataFrame, words: int = WORDS, similarity: float = SIMILAR
     found = stash(met.where("bits >= 0").groupBy("u", "v").agg(F.min("bits").alias("bits")), "near-links")
     edges = found.where(F.col("bits") <= sure).select("u", "v").unionByName(similar(found.where(F.col("bits") > sure).select("u", "v"), docs, words, similarity, id_col, text_col))
     # Rows of one document are joined too.
-    own = prints.select("doc", "h1", "h2").join(nodes.select("h1", "h2", "node"), ["h1", "h2"]).select("doc", "node")
+    own = stash(prints.select("doc", "h1", "h2").join(nodes.select("h1", "h2", "node"), ["h1", "h2"]).select("doc", "node"), "near-own")
+    edges = edges.unionByName(simhash_links(docs, own, words, similarity, id_col, text_col))
     edges = stash(edges.unionByName(own.where("doc <> node").select(F.col("doc").alias("u"), F.col("node").alias("v"))), "near-edges")
     sets = lambda ids: shingle_sets(ids, docs, words, id_col, text_col)
     groups = connected_components(edges)

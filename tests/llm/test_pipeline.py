@@ -125,3 +125,15 @@ def test_odd_rows(spark):
     assert ids["near copies"] == sorted([1, 2, 2, 3, 6, 7, None], key=str)
     for name, f in corpus_pipeline.STAGES:
         assert f(spark, docs.limit(0), sf).count() == 0, name
+
+
+def test_links_of_simhash_are_looked_up_and_checked(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    text = [f"w{k}" for k in rng.integers(0, 5000, 3000)]
+    docs = spark.createDataFrame([(1, " ".join(text)), (2, " ".join([*text[:-1], "other"])), (3, " ".join(text[::-1])), (4, None)], "doc_id long, text string")
+    own = docs.selectExpr("doc_id as doc", "doc_id as node")
+    of = lambda share: [tuple(r) for r in near_copies.simhash_links(docs, own, 5, share, "doc_id", "text").collect()]
+    assert of(0.8) == [(1, 2)] and of(1.0) == []
+    # The stage has them where the lookup of values finds nothing.
+    monkeypatch.setattr(near_copies, "links_at_values", lambda sure: lambda batches: (b for b in ()))
+    assert {r.doc: r.group for r in near_copies.near_groups(docs).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
