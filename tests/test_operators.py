@@ -671,3 +671,13 @@ def test_kinds_of_nodes_give_the_network_of_all_nodes():
     assert np.allclose(shared, [into[(x == row).all(axis=1)].sum(axis=0) for row in kinds.x])
     alone = Kinds(x[:1], np.zeros(0, int), np.zeros(0, int))
     assert np.allclose(net.forward(alone.x, alone)[0], net.forward(x[:1], Means(1, np.zeros(0, int), np.zeros(0, int)))[0])
+
+
+def test_relations_broadcast_no_nodes(spark):
+    from matrixweave.sources import hetero
+
+    nodes = written(spark.createDataFrame([(0, "cell", 5), (0, "cell", 7)], "sample_id int, node_type string, id long"), "small")
+    links = written(spark.createDataFrame([(0, "cell", 5, "cell", 7, 2.0, 0.5)], "sample_id int, src_type string, src long, dst_type string, dst long, d double, weight double"), "small")
+    relations = hetero.hetero_tables(nodes, links)[1]
+    assert broadcasts(relations) == 0
+    assert sorted((r.source, r.target) for r in relations.collect()) == [(0, 1), (1, 0)]
