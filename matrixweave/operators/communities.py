@@ -9,67 +9,82 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from matrixweave.operators.geometry import by_sample
+from matrixweave.plans.scratch import written
 
 
-def move_nodes(n: int, links: dict[tuple[int, int], float], resolution: float) -> np.ndarray:
-    """Communities of nodes 0 to n - 1; links are undirected, a loop counts its weight once."""
+def move_nodes(n: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray, resolution: float) -> np.ndarray:
+    """Communities of nodes 0 to n - 1; links a, b are undirected, once each, and a loop counts its weight once.
+
+    Links are arrays; a node's neighbours are lists whose numbers are shared, so that a
+    link takes some tens of bytes.
+    """
     belongs = np.arange(n)
     while True:
-        near: list[dict[int, float]] = [{} for _ in range(n)]
-        strength = np.zeros(n)
-        for (a, b), w in links.items():
-            strength[a] += w
-            strength[b] += w
-            if a != b:
-                near[a][b] = near[a].get(b, 0.0) + w
-                near[b][a] = near[b].get(a, 0.0) + w
-        total = strength.sum()
-        own, weight = np.arange(n), strength.copy()
+        ends, twice = np.column_stack([a, b]).reshape(-1), np.repeat(weight, 2)
+        strength = np.bincount(ends, twice, n)
+        total = float(strength.sum())
+        # Both ways, by node and in the order of links; loops are no neighbours.
+        other = np.column_stack([b, a]).reshape(-1)
+        ways = np.argsort(ends, kind="stable")
+        ways = ways[ends[ways] != other[ways]]
+        bounds = np.concatenate(([0], np.cumsum(np.bincount(ends[ways], minlength=n)))).tolist()
+        numbers = list(range(n))
+        near, far = list(map(numbers.__getitem__, other[ways].tolist())), twice[ways].tolist()
+        del ends, twice, other, ways
+        own, held, each = numbers.copy(), strength.tolist(), strength.tolist()
         moved_any = False
         for _ in range(100):
             moved = False
             for v in range(n):
+                i, j = bounds[v], bounds[v + 1]
+                if i == j:
+                    continue
                 to: dict[int, float] = {}
-                for u, w in near[v].items():
-                    to[own[u]] = to.get(own[u], 0.0) + w
-                weight[own[v]] -= strength[v]
-                gain = lambda c: to.get(c, 0.0) - resolution * strength[v] * weight[c] / total if total else 0.0  # noqa: E731, B023
-                best, value = own[v], gain(own[v])
+                for u, w in zip(near[i:j], far[i:j]):
+                    c = own[u]
+                    to[c] = to.get(c, 0.0) + w
+                here, mine = own[v], each[v]
+                held[here] -= mine
+                best, value = here, to.get(here, 0.0) - resolution * mine * held[here] / total if total else 0.0
                 for c in sorted(to):
-                    if gain(c) > value + 1e-12:
-                        best, value = c, gain(c)
-                weight[best] += strength[v]
-                if best != own[v]:
+                    gain = to[c] - resolution * mine * held[c] / total if total else 0.0
+                    if gain > value + 1e-12:
+                        best, value = c, gain
+                held[best] += mine
+                if best != here:
                     own[v], moved = best, True
             moved_any |= moved
             if not moved:
                 break
-        names, own = np.unique(own, return_inverse=True)
-        belongs = own[belongs]
+        del near, far
+        names, to_name = np.unique(np.array(own), return_inverse=True)
+        belongs = to_name[belongs]
         if not moved_any or len(names) == n:
             return belongs
-        merged: dict[tuple[int, int], float] = {}
-        for (a, b), w in links.items():
-            k = tuple(sorted((int(own[a]), int(own[b]))))
-            merged[k] = merged.get(k, 0.0) + w
-        links, n = merged, len(names)
+        n = len(names)
+        a, b, weight = merged(to_name[a], to_name[b], weight, n)
+
+
+def merged(a: np.ndarray, b: np.ndarray, weight: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each undirected link once with its summed weight, in the order in which links are first met."""
+    key, first, of = np.unique(np.minimum(a, b) * n + np.maximum(a, b), return_index=True, return_inverse=True)
+    order = np.argsort(first)
+    key, weight = key[order], np.bincount(of, weight, len(key))[order]
+    return key // n, key % n, weight
 
 
 def communities(edges: DataFrame, resolution: float = 1.0) -> DataFrame:
     """(sample_id, id, community) of nodes with edges, 0 for the largest community; ties go by smallest id."""
 
-    def build(key: tuple, t: dict[str, np.ndarray]) -> list[tuple]:
+    def build(key: tuple, t: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
         ids, ends = np.unique(np.concatenate([t["src"], t["dst"]]), return_inverse=True)
         a, b = ends.reshape(2, -1)
-        links: dict[tuple[int, int], float] = {}
-        for x, y, w in sorted(zip(a.tolist(), b.tolist(), t["weight"].tolist())):
-            k = (min(x, y), max(x, y))
-            links[k] = links.get(k, 0.0) + w
-        found = move_nodes(len(ids), links, resolution)
-        size = np.bincount(found)
-        first = {int(c): i for i, c in reversed(list(enumerate(found.tolist())))}
-        rank = {c: r for r, c in enumerate(sorted(first, key=lambda c: (-size[c], first[c])))}
-        return [(key[0], int(i), rank[int(c)]) for i, c in zip(ids, found)]
+        order = np.lexsort((t["weight"], b, a))
+        found = move_nodes(len(ids), *merged(a[order], b[order], t["weight"][order], len(ids)), resolution)
+        _, first, size = np.unique(found, return_index=True, return_counts=True)
+        rank = np.empty(len(first), np.int32)
+        rank[np.lexsort((first, -size))] = np.arange(len(first))
+        return {"sample_id": np.full(len(ids), key[0]), "id": ids, "community": rank[found]}
 
     own = edges.select(F.col("sample_id").cast("long").alias("sample_id"), "src", "dst", (F.col("weight") if "weight" in edges.columns else F.lit(1.0)).cast("double").alias("weight"))
     return by_sample(own, ["sample_id"], build, "sample_id long, id long, community int")
@@ -85,8 +100,9 @@ def select_resolution(edges: DataFrame, spread: DataFrame, resolutions: list[flo
     from pyspark.ml.functions import vector_to_array
 
     own = spread.select(F.col("sample_id").cast("long").alias("sample_id"), "id", F.posexplode(vector_to_array("z")).alias("k", "v"))
+    edges = written(edges, "resolution-edges")
     found = [communities(edges, r).withColumn("resolution", F.lit(float(r))) for r in resolutions]
-    long = functools.reduce(DataFrame.unionByName, found).join(own, ["sample_id", "id"])
+    long = functools.reduce(DataFrame.unionByName, found).join(own.hint("merge"), ["sample_id", "id"])
     by = ["sample_id", "resolution"]
     sums = long.groupBy(*by, "community", "k").agg(F.count("*").alias("n"), F.sum("v").alias("s"), F.sum(F.col("v") ** 2).alias("q"))
     all_ = Window.partitionBy(*by, "k")

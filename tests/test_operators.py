@@ -681,3 +681,77 @@ def test_relations_broadcast_no_nodes(spark):
     relations = hetero.hetero_tables(nodes, links)[1]
     assert broadcasts(relations) == 0
     assert sorted((r.source, r.target) for r in relations.collect()) == [(0, 1), (1, 0)]
+
+
+def test_nearest_of_rows_that_coincide(spark):
+    rng = np.random.default_rng(5)
+    xy = [(0.0, 0.0)] * 40 + [(1.0, 0.0)] * 2 + [(0.0, 3.0)] * 7 + [tuple(p) for p in rng.integers(0, 4, (30, 2)).astype(float)] + [(20.0, 20.0)]
+    df = points(spark, xy)
+    rows = [tuple(r) for r in df.select("id", "x", "y").collect()]
+    for own, a, b in ((True, rows, rows), (False, [r for r in rows if r[0] % 3 == 0], [r for r in rows if r[0] % 3])):
+        ask = df if own else df.where("id % 3 = 0")
+        got = {}
+        for r in spatial.nearest(ask, df if own else df.where("id % 3 <> 0"), 4, own=own).collect():
+            got.setdefault(r.src, []).append((r["rank"], r.dst, r.d))
+        for i, x, y in a:
+            near = sorted((((x - u) ** 2 + (y - v) ** 2) ** 0.5, j) for j, u, v in b if not own or j != i)[:4]
+            assert sorted(got[i]) == [(n + 1, j, d) for n, (d, j) in enumerate(near)]
+
+
+def test_first_buckets_of_rows_on_a_small_part(spark):
+    rows = written(points(spark, [(float(i % 100), i / 1000) for i in range(1000)]).withColumnRenamed("id", "dst"), "rows")
+    extent = spark.createDataFrame([(rows.first()["sample_id"], 99.0, 10.0)], "sample_id int, _extent double, _first double")
+    assert spatial._crowded(rows, extent, 30).first()._first == 2.5
+    assert spatial._crowded(rows, extent, 200).first()._first == 10.0
+
+
+def test_communities_are_those_of_a_plain_program():
+    from matrixweave.operators.communities import merged, move_nodes
+
+    def plain(n, links, resolution):
+        belongs = list(range(n))
+        while True:
+            strength = [sum(w * ((a == v) + (b == v)) for (a, b), w in links.items()) for v in range(n)]
+            own, weight, moved_any = list(range(n)), strength.copy(), False
+            for _ in range(100):
+                moved = False
+                for v in range(n):
+                    to = {}
+                    for (a, b), w in links.items():
+                        if a != b and v in (a, b):
+                            to[own[a + b - v]] = to.get(own[a + b - v], 0.0) + w
+                    weight[own[v]] -= strength[v]
+                    gain = lambda c: to.get(c, 0.0) - resolution * strength[v] * weight[c] / sum(strength)  # noqa: E731, B023
+                    best = own[v]
+                    for c in sorted(to):
+                        best = c if gain(c) > gain(best) + 1e-12 else best
+                    weight[best] += strength[v]
+                    moved, own[v] = moved or best != own[v], best
+                moved_any |= moved
+                if not moved:
+                    break
+            names = sorted(set(own))
+            belongs = [names.index(own[v]) for v in belongs]
+            if not moved_any:
+                return belongs
+            after = {}
+            for (a, b), w in links.items():
+                k = tuple(sorted((names.index(own[a]), names.index(own[b]))))
+                after[k] = after.get(k, 0.0) + w
+            links, n = after, len(names)
+
+    rng = np.random.default_rng(2)
+    for n, m in ((1, 0), (2, 1), (30, 60), (60, 90)):
+        a, b = rng.integers(0, n, (2, m))
+        a, b, w = merged(a, b, rng.integers(1, 4, m).astype(float), n)
+        for resolution in (0.5, 1.0, 2.0):
+            assert move_nodes(n, a, b, w, resolution).tolist() == plain(n, dict(zip(zip(a.tolist(), b.tolist()), w.tolist())), resolution)
+
+
+def test_resolution_broadcasts_no_features(spark):
+    from matrixweave.operators import cluster, communities
+
+    rows = spark.createDataFrame([(0, i, float(i), float(i % 2)) for i in range(6)], "sample_id int, id long, a double, b double")
+    spread = written(cluster.standardised(rows, ["a", "b"]), "small")
+    links = written(spark.createDataFrame([(0, 0, 1), (0, 2, 3), (0, 4, 5)], "sample_id int, src long, dst long"), "small")
+    assert broadcasts(communities.select_resolution(links, spread, [0.5, 1.0])) == 0
