@@ -45,6 +45,8 @@ SHARD_ROWS, BLOCK_ROWS, LEAF = 8192, 8192, 64
 SAMPLE_ROWS, MOST_LEAVES = 64, 256
 #: How far a fast score may lie from the exact one.
 SLACK = 1e-9
+#: How far the square of a distance may, as a share of the squares it is made of: near zero its root is off by far more.
+SQUARE_SLACK = 1e-12
 
 
 def usable(vector: Column) -> Column:
@@ -155,14 +157,15 @@ class Tree:
             if a < 0:
                 return leaf(*self.spans[node], own)
             point = self.points[node]
-            distance = np.sqrt(np.maximum(size[own] + 0.0 - 2 * (lifted[own] @ point) + (point @ point - self.radius2), 0))
+            square, off = size[own] - 2 * (lifted[own] @ point) + (point @ point - self.radius2), SQUARE_SLACK * size[own]
+            least, most = np.sqrt(np.maximum(square - off, 0)), np.sqrt(np.maximum(square + off, 0))
             low1, high1, low2, high2 = self.bounds[node]
-            inside = distance <= (high1 + low2) / 2
+            inside = least <= (high1 + low2) / 2
 
             def open_to(mask: np.ndarray, low: float, high: float) -> np.ndarray:
                 with np.errstate(invalid="ignore"):
-                    tau = np.sqrt(np.maximum(size[own] - 2 * np.maximum(score[own, -1], floor[own]), 0)) * factor + SLACK
-                return own[mask & (distance + tau >= low) & (distance - tau <= high)]
+                    tau = np.sqrt(np.maximum(size[own] - 2 * np.maximum(score[own, -1], floor[own]), 0) + off) * factor + SLACK
+                return own[mask & (most + tau >= low) & (least - tau <= high)]
 
             visit(a, own[inside])
             visit(b, own[~inside])
@@ -252,7 +255,7 @@ class Top:
         """The leaves that may hold a row at or over each query's ``floor``."""
         size = (queries * queries).sum(axis=1) + self.radius2
         with np.errstate(invalid="ignore"):
-            tau = np.sqrt(np.maximum(size - 2 * floor, 0)) * factor + SLACK * (1 + size)
+            tau = np.sqrt(np.maximum(size - 2 * floor, 0) + SQUARE_SLACK * size) * factor + SLACK * (1 + size)
         last, out = np.zeros(len(queries)), [[] for _ in range(len(queries))]
 
         def down(node: int, own: np.ndarray) -> None:

@@ -533,3 +533,24 @@ def test_shards_are_pruned(spark, factor):
         assert factor < 1 or all(w in got[i] for w in want)
     assert hits >= 0.9 * 5 * 102
     assert seen["searched"] < 0.5 * seen["are"]
+
+
+def test_trees_skip_no_row_that_equals_the_query():
+    for seed in range(24):
+        rng = np.random.default_rng(seed)
+        x = np.repeat(rng.normal(size=(8, (4, 16, 64)[seed % 3])), 50, axis=0)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        ids = rng.permutation(len(x))
+        exact = [np.cumsum(x * x[i], axis=1)[:, -1] for i in range(len(x))]
+        asked = np.flatnonzero(ids % 20 == 0)
+        tree = vantage_trees.Tree(ids, x, leaf=8)
+        q, found, _ = tree.search(ids[asked], x[asked], 5, 1.0)
+        best = [[j for j in np.lexsort((ids, -exact[i])) if j != i][:5] for i in asked]
+        assert [found[q == n].tolist() for n in range(len(asked))] == [ids[b].tolist() for b in best]
+        top = vantage_trees.Top(x[rng.permutation(len(x))[:128]], tree.radius2, 16)
+        leaf, path = top.route(x)
+        own = {n: [path[i] for i in np.flatnonzero(leaf == n)] for n in set(leaf.tolist())}
+        top.bound({n: ([min(d) for d in zip(*p)], [max(d) for d in zip(*p)]) for n, p in own.items()})
+        floor = np.array([exact[i][b[-1]] for i, b in zip(asked, best)])
+        for i, f, leaves in zip(asked, floor, top.open(x[asked], floor, 1.0)):
+            assert set(leaf[exact[i] >= f].tolist()) <= set(leaves)
