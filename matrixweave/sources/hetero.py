@@ -14,12 +14,14 @@ def hetero_tables(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFr
     relations, one the other's reverse.
     """
     numbered = nodes.withColumn("node", (F.row_number().over(Window.partitionBy("sample_id", "node_type").orderBy("id")) - 1).cast("long"))
-    way = lambda a, b: F.struct(F.col(f"{a}_type").alias("from"), F.col(a).alias("a"), F.col(f"{b}_type").alias("to"), F.col(b).alias("b"))
-    both = edges.select("sample_id", F.explode(F.array(way("src", "dst"), way("dst", "src"))).alias("e"), "d", "weight").select("sample_id", "e.*", "d", "weight")
     ids = numbered.select("sample_id", "node_type", "id", "node")
-    for kind, end, name in (("from", "a", "source"), ("to", "b", "target")):
-        both = both.join(ids.select("sample_id", F.col("node_type").alias(kind), F.col("id").alias(end), F.col("node").alias(name)).hint("merge"), ["sample_id", kind, end])
-    return numbered, both.select("sample_id", F.concat_ws("-", "from", "to").alias("relation"), "source", "target", "d", "weight")
+    # Joined while each edge is one row; then both ways.
+    found = edges.select("sample_id", "src_type", "src", "dst_type", "dst", "d", "weight")
+    for end, name in (("src", "source"), ("dst", "target")):
+        found = found.join(ids.select("sample_id", F.col("node_type").alias(f"{end}_type"), F.col("id").alias(end), F.col("node").alias(name)).hint("merge"), ["sample_id", f"{end}_type", end])
+    way = lambda a, b, at, to: F.struct(F.concat_ws("-", f"{a}_type", f"{b}_type").alias("relation"), F.col(at).alias("source"), F.col(to).alias("target"))
+    ways = F.explode(F.array(way("src", "dst", "source", "target"), way("dst", "src", "target", "source"))).alias("e")
+    return numbered, found.select("sample_id", ways, "d", "weight").select("sample_id", "e.*", "d", "weight")
 
 
 def write_hetero(nodes: DataFrame, edges: DataFrame, path: str) -> None:

@@ -1,5 +1,7 @@
 """Operators on small inputs with answers worked out by hand, and invariances."""
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -683,6 +685,26 @@ def test_relations_broadcast_no_nodes(spark):
     assert sorted((r.source, r.target) for r in relations.collect()) == [(0, 1), (1, 0)]
 
 
+def test_relations_are_joined_before_they_go_both_ways(spark):
+    from matrixweave.sources import hetero
+
+    nodes = spark.createDataFrame([(s, t, i) for s in (0, 1) for t in ("cell", "ecm") for i in (9, 4, 6)], "sample_id int, node_type string, id long")
+    links = spark.createDataFrame([(0, "cell", 4, "cell", 9, 2.0, 0.5), (1, "cell", 6, "ecm", 4, 0.0, 0.0), (1, "ecm", 4, "ecm", 6, 1.0, 1.0), (1, "ecm", 4, "ecm", 5, 1.0, 1.0)], "sample_id int, src_type string, src long, dst_type string, dst long, d double, weight double")
+    relations = hetero.hetero_tables(nodes, links)[1]
+    plan = relations._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 <= plan.index("Generate") < plan.index("Join")
+    want = [(0, "cell-cell", 0, 2, 2.0, 0.5), (0, "cell-cell", 2, 0, 2.0, 0.5), (1, "cell-ecm", 1, 0, 0.0, 0.0), (1, "ecm-cell", 0, 1, 0.0, 0.0), (1, "ecm-ecm", 0, 1, 1.0, 1.0), (1, "ecm-ecm", 1, 0, 1.0, 1.0)]
+    assert relations.columns == ["sample_id", "relation", "source", "target", "d", "weight"]
+    assert sorted(map(tuple, relations.collect())) == want
+
+
+def test_written_tables_hold_no_file_of_the_driver(spark):
+    kept = written(spark.range(5).toDF("id"), "small")
+    files = [p.name for p in Path(kept.inputFiles()[0].removeprefix("file://")).parent.iterdir()]
+    assert files and all("part-" in f for f in files)
+    assert sorted(r.id for r in kept.collect()) == list(range(5))
+
+
 def test_nearest_of_rows_that_coincide(spark):
     rng = np.random.default_rng(5)
     xy = [(0.0, 0.0)] * 40 + [(1.0, 0.0)] * 2 + [(0.0, 3.0)] * 7 + [tuple(p) for p in rng.integers(0, 4, (30, 2)).astype(float)] + [(20.0, 20.0)]
