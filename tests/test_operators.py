@@ -675,6 +675,63 @@ def test_kinds_of_nodes_give_the_network_of_all_nodes():
     assert np.allclose(net.forward(alone.x, alone)[0], net.forward(x[:1], Means(1, np.zeros(0, int), np.zeros(0, int)))[0])
 
 
+def _mosaic(side, seed):
+    """(x, src, dst) of a lattice of random one-hot nodes, edges both ways."""
+    rng, at = np.random.default_rng(seed), np.arange(side * side).reshape(side, side)
+    a, b = np.concatenate([at[:, 1:].ravel(), at[1:].ravel()]), np.concatenate([at[:, :-1].ravel(), at[:-1].ravel()])
+    return np.eye(5)[rng.integers(0, 5, side * side)], np.concatenate([a, b]), np.concatenate([b, a])
+
+
+def test_sums_of_few_and_very_many_terms():
+    from matrixweave.operators.nn import Sums
+
+    rng = np.random.default_rng(3)
+    to = np.concatenate([np.full(9000, 4), rng.integers(0, 50, 700), np.full(64, 60), np.full(65, 61)])
+    source, weight, rows = rng.integers(0, 30, len(to)), rng.normal(size=len(to)), rng.normal(size=(30, 3))
+    for w in (weight, np.ones(len(to))):
+        want = np.zeros((70, 3))
+        np.add.at(want, to, rows[source] * w[:, None])
+        sums = Sums(to, source, w, 70)
+        assert np.allclose(sums(rows), want) and np.allclose(sums(rows), want)  # memory is used again
+        assert max(map(len, (sums.slots, sums.above.slots))) <= 64
+    assert (Sums(to[:0], source[:0], weight[:0], 2)(rows) == 0).all()
+
+
+def test_gradients_by_parts_are_those_of_all_nodes():
+    from matrixweave.operators.nn import Kinds, Means, Network
+
+    x, src, dst = _mosaic(80, 1)
+    hub, n = np.arange(1, 300), len(x)  # node 0 has very many neighbours, the last one none
+    src, dst = np.concatenate([src, np.zeros(299, int), hub]), np.concatenate([dst, hub, np.zeros(299, int)])
+    x = np.concatenate([x, x[:1]])
+    kinds, means, net = Kinds(x, src, dst), Means(n + 1, src, dst), Network(5, 3, 4, seed=1)
+    assert len(kinds.levels[-1].parts) > 1
+    weight = np.random.default_rng(0).random(kinds.n) / kinds.n
+    z, kept = net.forward(x, means)
+    one = np.bincount(kinds.of, minlength=kinds.n)
+    assert np.allclose(net.scores(kinds.x, kinds)[kinds.of], z)
+    own = net.gradients(kinds.x, kinds, lambda rows, out: weight[rows, None] * out)
+    grads = net.backward((weight / one)[kinds.of, None] * z, kept, means)[0]
+    assert all(np.allclose(grads[k], own[k]) for k in net.p)
+    for c, pull in enumerate(net.pulls(kinds.x, kinds, weight)):
+        into = net.backward((weight / one)[kinds.of, None] * (np.arange(3) == c), kept, means)[1]
+        assert np.allclose(pull, [into[(x == row).all(axis=1)].sum(axis=0) for row in kinds.x])
+
+
+def test_training_never_holds_the_last_layer_of_all_nodes():
+    import tracemalloc
+
+    from matrixweave.operators import nn
+
+    x, src, dst = _mosaic(250, 2)
+    n, half = len(x), len(x) // 2
+    tracemalloc.start()
+    nn._train(x, (np.arange(n) >= half).astype(int), np.zeros(n, bool), src, dst, 2, 0.005, 1e-4, 0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3 * n * 32 * 8
+
+
 def test_relations_broadcast_no_nodes(spark):
     from matrixweave.sources import hetero
 
