@@ -732,6 +732,21 @@ def test_training_never_holds_the_last_layer_of_all_nodes():
     assert peak < 3 * n * 32 * 8
 
 
+def test_probabilities_never_hold_the_last_layer_of_all_nodes():
+    import tracemalloc
+
+    from matrixweave.operators import nn
+
+    x, src, dst = _mosaic(250, 4)
+    n, net = len(x), nn.Network(5, 2, seed=0)
+    want = nn.softmax(net.forward(x, nn.Means(n, src, dst))[0])
+    tracemalloc.start()
+    got = nn._probabilities(net, x, src, dst)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.allclose(got, want) and peak < 3 * n * 32 * 8
+
+
 def test_relations_broadcast_no_nodes(spark):
     from matrixweave.sources import hetero
 
